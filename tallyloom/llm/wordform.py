@@ -16,26 +16,25 @@ import xxhash
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _class_of(kinds: tuple[str, ...]) -> str:
-    """A regular-expression class of all code points of some categories, built from the Unicode database."""
-    out, start, last = [], -1, -2
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))
-        if kind in kinds or kind[0] in kinds:
-            if c != last + 1:
-                if start >= 0:
-                    out.append((start, last))
-                start = c
-            last = c
-    out.append((start, last))
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out) + "]"
+def _is_mark() -> np.ndarray:
+    """For each code point, whether it is a mark (M) or a format character (Cf)."""
+    kinds = (unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1))
+    return np.fromiter((k[0] == "M" or k == "Cf" for k in kinds), dtype=bool, count=sys.maxunicode + 1)
 
 
-_MARKS = re.compile(_class_of(("M", "Cf")) + "+")
+_MARK = _is_mark()
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def strip_marks(text: str) -> str:
-    return text if text.isascii() else _MARKS.sub("", text)
+    if text.isascii():
+        return text
+    code = _code_points(text)
+    mark = _MARK[code]
+    return code[~mark].tobytes().decode("utf-32-le", "surrogatepass") if mark.any() else text
 
 
 def words(text: str | None) -> list[str]:
@@ -48,11 +47,9 @@ def words_with_spans(text: str | None) -> tuple[list[str], list[tuple[int, int]]
     if not text:
         return [], []
     place = None
-    plain = text
-    if not text.isascii() and _MARKS.search(text):
-        keep = [i for i, c in enumerate(text) if not _MARKS.match(c)]
-        plain = "".join(text[i] for i in keep)
-        place = keep
+    plain = strip_marks(text)
+    if len(plain) != len(text):
+        place = np.flatnonzero(~_MARK[_code_points(text)]).tolist()
     low = plain.lower()
     if len(low) != len(plain):  # a letter whose lower case is longer
         back: list[int] = []
