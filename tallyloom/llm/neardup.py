@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shingles import flat, one_per_text, shingle_table
+from tallyloom.llm.shingles import by_ids, flat, one_per_text, shingle_table
 from tallyloom.session import keep
 
 
@@ -87,7 +87,7 @@ def similar_texts(texts: DataFrame, p: NearDup) -> DataFrame:
     frequent = posted.groupBy("key").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     shared = posted.join(frequent, "key")
     lists = shared.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("l")).where(F.size("l") >= p.matches)
-    sized = lists.select("h", F.transform("l", lambda x: x.key).alias("keys"))
+    sized = keep(lists.select("h", F.transform("l", lambda x: x.key).alias("keys")), "neardup-lists")
     prefix = sized.select("h", F.explode(F.slice("keys", 1, F.size("keys") - (p.matches - 1))).alias("key"))
     pairs = (
         prefix.select("key", F.col("h").alias("ha"))
@@ -96,7 +96,9 @@ def similar_texts(texts: DataFrame, p: NearDup) -> DataFrame:
         .select("ha", "hb")
         .distinct()
     )
-    of = sized.join(texts, "h").select("h", "keys", "n", "tri")
+    pairs = keep(pairs, "neardup-candidates")
+    met = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct()
+    of = sized.join(by_ids(texts, met, "h", "left_semi"), "h").select("h", "keys", "n", "tri")
     left = of.select(F.col("h").alias("ha"), F.col("keys").alias("ka"), F.col("n").alias("na"), F.col("tri").alias("ta"))
     right = of.select(F.col("h").alias("hb"), F.col("keys").alias("kb"), F.col("n").alias("nb"), F.col("tri").alias("tb"))
     s = F.lit(p.similarity)

@@ -51,16 +51,22 @@ def shingle_table(df: DataFrame, text: str, keys: list[str], width: int, min_wor
     return keep(picked.mapInArrow(run, schema), tag)
 
 
-def one_per_text(table: DataFrame, key: str) -> DataFrame:
-    """(h, n, tri): one row per distinct word sequence.
+#: Ids up to this number (8 MB) may be broadcast; more go through a shuffle join.
+BROADCAST_IDS = 1_000_000
 
-    Only ids are shuffled to find the later copies; these few are then taken out by an anti join, which Spark broadcasts or
-    shuffles by the size it measures.
-    """
+
+def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """Semi or anti join with a table of distinct ids, which is counted first: broadcast within a bound, else shuffled."""
+    ids = keep(ids, "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
+def one_per_text(table: DataFrame, key: str) -> DataFrame:
+    """(h, n, tri): one row per distinct word sequence; only ids are shuffled to find the later copies."""
     holders = table.where("tri IS NOT NULL")
     least = holders.groupBy("h").agg(F.min(key).alias("_least"), F.count("*").alias("_c")).where("_c > 1")
-    later = holders.select("h", key).join(least, "h").where(F.col(key) != F.col("_least")).select(F.col(key).alias("_later"))
-    return holders.join(later, F.col(key) == F.col("_later"), "left_anti").select("h", "n", "tri")
+    later = holders.select("h", key).join(least, "h").where(F.col(key) != F.col("_least")).select(key)
+    return by_ids(holders, later, key, "left_anti").select("h", "n", "tri")
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
