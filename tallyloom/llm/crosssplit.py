@@ -26,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shingles import flat, one_per_text, shingle_table
+from tallyloom.llm.shingles import by_ids, flat, one_per_text, shingle_table
 from tallyloom.session import keep
 
 
+BITS = 256
+
+
 @dataclass(frozen=True)
 class CosineJoin:
-    """Parameters; of 128 sketch bits two texts of similarity s agree on 64 (1 + s) on average (0.5: 96, deviation 4.9)."""
+    """Parameters; of 256 sketch bits two texts of similarity s agree on 128 (1 + s) on average (0.5: 192, deviation 6.9)."""
 
     width: int = 5
     similarity: float = 0.8
@@ -46,7 +49,7 @@ class CosineJoin:
     @property
     def sketch_bits(self) -> int:
         p = (1 + self.similarity) / 2
-        return math.floor(128 * p - self.sketch_slack * math.sqrt(128 * p * (1 - p)))
+        return math.floor(BITS * p - self.sketch_slack * math.sqrt(BITS * p * (1 - p)))
 
 
 #: What TESTDATA.md states for articles.
@@ -65,15 +68,15 @@ def term_counts(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]
         for batch in batches:
             values, off = flat(batch.column(0))
             at = _bucket(values, buckets)
-            for side in (0, 1):
-                has = np.repeat(batch.column(1 + side).to_numpy(zero_copy_only=False), np.diff(off))
-                n[side] += np.bincount(at[has], minlength=buckets)
+            train = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(off))
+            n[0] += np.bincount(at[train], minlength=buckets)
+            n[1] += np.bincount(at[~train], minlength=buckets)
         hit = np.flatnonzero(n.any(axis=0))
         for k in range(0, len(hit), 100_000):
             part = hit[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[0, part]), pa.array(n[1, part])], names=["b", "t", "e"])
 
-    partial = texts.select("tri", "train", "eval").mapInArrow(run, "b bigint, t bigint, e bigint")
+    partial = texts.select("tri", "train").mapInArrow(run, "b bigint, t bigint, e bigint")
     total = partial.groupBy("b").agg(F.sum("t").alias("t"), F.sum("e").alias("e")).toArrow()  # `buckets` rows at most
     out = np.zeros((2, buckets), dtype=np.int32)
     at = total.column("b").to_numpy()
@@ -83,13 +86,13 @@ def term_counts(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sketch(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """128 bits of each text, each the lowest bit of one min-hash."""
+    """256 bits of each text, each one bit of a min-hash, in four integers."""
     rng = np.random.default_rng(11)
-    a = rng.integers(0, 2**32, 128, dtype=np.uint32) | np.uint32(1)
-    b = rng.integers(0, 2**32, 128, dtype=np.uint32)
+    a = rng.integers(0, 2**32, BITS, dtype=np.uint32) | np.uint32(1)
+    b = rng.integers(0, 2**32, BITS, dtype=np.uint32)
     x = values.view(np.uint32)
-    out = np.zeros((2, len(starts)), dtype=np.uint64)
-    for i in range(128):
+    out = np.zeros((BITS // 64, len(starts)), dtype=np.uint64)
+    for i in range(BITS):
         h = x * a[i] + b[i]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
@@ -100,22 +103,23 @@ def _sketch(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def indexed(texts: DataFrame, p: CosineJoin, counts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(train, eval, term, h, n, s1, s2): the indexed part of each text's vector."""
+    """(train, term, h, n, s1 to s4): the indexed part of each text's vector, with its sketch."""
     cast = texts.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+    names = ["train", "term", "h", "n", "s1", "s2", "s3", "s4"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, evals = cast.value
+        counts_t, counts_e = cast.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             values, off = flat(batch.column(1))
-            is_train = batch.column(2).to_numpy(zero_copy_only=False)
-            is_eval = batch.column(3).to_numpy(zero_copy_only=False)
+            train = batch.column(2).to_numpy(zero_copy_only=False)
             sizes = np.diff(off)
+            sketch = _sketch(values, off[:-1])
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = _bucket(values, p.buckets)
-            t, e = train[at], evals[at]
-            meets = (is_train[owner] & (e - is_eval[owner] > 0)) | (is_eval[owner] & (t - is_train[owner] > 0))
+            t, e = counts_t[at], counts_e[at]
+            meets = np.where(train[owner], e, t) > 0  # a term that the other side holds
             owner, values, order = owner[meets], values[meets], (t + e)[meets]
             by = np.lexsort((values, order, owner))
             owner, values = owner[by], values[by]
@@ -126,32 +130,28 @@ def indexed(texts: DataFrame, p: CosineJoin, counts: tuple[np.ndarray, np.ndarra
             by_weight = np.ceil(p.cosine * math.sqrt(p.similarity) * sizes - 1e-9)
             most = np.maximum(by_norm, by_weight).astype(np.int64) - 1
             first = np.concatenate([[0], np.cumsum(left)])[:-1]
-            rank = np.arange(len(owner)) - first[owner]
-            take = rank < (left - most)[owner]
+            take = np.arange(len(owner)) - first[owner] < (left - most)[owner]
             owner, values = owner[take], values[take]
-            s = _sketch(*((flat(batch.column(1))[0]), off[:-1]))
             h, n = batch.column(0).to_numpy(), sizes.astype(np.int32)
-            cols = [is_train[owner], is_eval[owner], values, h[owner], n[owner], s[0][owner], s[1][owner]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["train", "eval", "term", "h", "n", "s1", "s2"])
+            cols = [train[owner], values, h[owner], n[owner], *(s[owner] for s in sketch)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-    return texts.select("h", "tri", "train", "eval").mapInArrow(run, "train boolean, eval boolean, term int, h bigint, n int, s1 bigint, s2 bigint")
+    return texts.select("h", "tri", "train").mapInArrow(run, "train boolean, term int, h bigint, n int, s1 bigint, s2 bigint, s3 bigint, s4 bigint")
 
 
 def cosine_pairs(texts: DataFrame, p: CosineJoin) -> DataFrame:
-    """(he, ht, cosine, similarity) of different texts (h, n, tri, train, eval) on the two sides."""
+    """(he, ht, cosine, similarity) of different texts (h, train, n, tri) on the two sides."""
     posted = keep(indexed(texts, p, term_counts(texts, p.buckets)), "cosine-index")
-    e = posted.where("eval").select("term", F.col("h").alias("he"), F.col("n").alias("ne"), F.col("s1").alias("e1"), F.col("s2").alias("e2"))
-    t = posted.where("train").select("term", F.col("h").alias("ht"), F.col("n").alias("nt"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    side = lambda where, x: posted.where(where).select("term", *(F.col(c).alias(c + x) for c in ("h", "n", "s1", "s2", "s3", "s4")))
     s = F.lit(p.similarity)
-    agree = 128 - F.bit_count(F.col("e1").bitwiseXOR(F.col("t1"))) - F.bit_count(F.col("e2").bitwiseXOR(F.col("t2")))
+    agree = F.lit(BITS)
+    for k in ("s1", "s2", "s3", "s4"):
+        agree = agree - F.bit_count(F.col(k + "e").bitwiseXOR(F.col(k + "t")))
     fits = F.least("ne", "nt") >= s * F.greatest("ne", "nt")
-    met = e.join(t, "term").where((F.col("he") != F.col("ht")) & fits & (agree >= p.sketch_bits)).select("he", "ht").distinct()
-    vec = texts.select("h", "n", "tri")
-    both = (
-        met.join(vec.select(F.col("h").alias("he"), F.col("n").alias("ne"), F.col("tri").alias("ve")), "he")
-        .join(vec.select(F.col("h").alias("ht"), F.col("n").alias("nt"), F.col("tri").alias("vt")), "ht")
-        .select("he", "ht", "ne", "nt", F.size(F.array_intersect("ve", "vt")).alias("c"))
-    )
+    met = side("NOT train", "e").join(side("train", "t"), "term").where((F.col("he") != F.col("ht")) & fits & (agree >= p.sketch_bits)).select("he", "ht").distinct()
+    met = keep(met, "cosine-candidates")
+    vec = lambda where, x: by_ids(texts.where(where), met.select(F.col("h" + x).alias("h")).distinct(), "h", "left_semi").select(F.col("h").alias("h" + x), F.col("n").alias("n" + x), F.col("tri").alias("v" + x))
+    both = met.join(vec("NOT train", "e"), "he").join(vec("train", "t"), "ht").select("he", "ht", "ne", "nt", F.size(F.array_intersect("ve", "vt")).alias("c"))
     dot = F.col("c") / F.sqrt(F.col("ne").cast("double") * F.col("nt"))
     return (
         both.select("he", "ht", dot.alias("cosine"), (F.col("c") / (F.col("ne") + F.col("nt") - F.col("c"))).alias("similarity"))
@@ -166,13 +166,14 @@ def cross_split(sides: list[DataFrame], p: CosineJoin = CosineJoin(), train: str
     ``sides`` have split, key and text. Returns the members (split, key, h) and the text pairs (he, ht, similarity), equal
     texts included with he = ht; overlaps() expands them.
     """
-    rows = reduce(DataFrame.unionByName, sides).where("split IS NOT NULL AND key IS NOT NULL").withColumn("uid", F.monotonically_increasing_id())
-    table = shingle_table(rows, "text", ["split", "key", "uid"], p.width, 1, "crosssplit", first="uid")
+    rows = reduce(DataFrame.unionByName, sides).where("split IS NOT NULL AND key IS NOT NULL")
+    rows = rows.withColumn("train", F.col("split") == train).withColumn("uid", F.monotonically_increasing_id())
+    table = shingle_table(rows, "text", ["split", "key", "train", "uid"], p.width, 1, "crosssplit", first="train")
     members = table.select("split", "key", "h").distinct()
-    flags = members.groupBy("h").agg(F.max(F.col("split") == train).alias("train"), F.max(F.col("split") != train).alias("eval"))
-    texts = keep(one_per_text(table, "uid").join(flags, "h"), "crosssplit-texts")
+    texts = one_per_text(table, "uid", "train")
     near = cosine_pairs(texts, p).select("he", "ht", "similarity")
-    same = texts.where("train AND eval").select(F.col("h").alias("he"), F.col("h").alias("ht"), F.lit(1.0).alias("similarity"))
+    sides_held = table.where("tri IS NOT NULL").groupBy("h").agg(F.max("train").alias("a"), F.min("train").alias("b")).where("a AND NOT b")
+    same = sides_held.select(F.col("h").alias("he"), F.col("h").alias("ht"), F.lit(1.0).alias("similarity"))
     return members, keep(near.unionByName(same), "crosssplit-pairs")
 
 

@@ -19,7 +19,7 @@ def shingle_table(df: DataFrame, text: str, keys: list[str], width: int, min_wor
     hashes, sorted), written to the shared folder. Rows with fewer than ``min_words`` words or no run are left out; a
     64-bit id repeats by chance for some few of 10^10 texts, which would only join two classes of copies.
 
-    With ``first``, a text that its partition has seen already gets a null ``tri``.
+    With ``first``, one of ``keys``, a text that its partition has seen already with this key gets a null ``tri``.
     """
     spark = ship(df.sparkSession)
     picked = df.select(*keys, F.col(text).alias("_text"))
@@ -30,6 +30,7 @@ def shingle_table(df: DataFrame, text: str, keys: list[str], width: int, min_wor
         hasher, seen = WordHasher(), set()
         for batch in batches:
             at, hs, sets = [], [], []
+            kinds = batch.column(keys.index(first)).to_pylist() if first else None
             for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 found = words(t)
                 if len(found) < least:
@@ -37,11 +38,13 @@ def shingle_table(df: DataFrame, text: str, keys: list[str], width: int, min_wor
                 hashes = hasher(found)
                 at.append(i)
                 hs.append(digest(hashes))
-                if first and hs[-1] in seen:
+                kind = (hs[-1], kinds[i]) if first else None
+                if kind in seen:
                     sets.append(None)
-                else:
-                    seen.add(hs[-1])
-                    sets.append(runs(hashes, width))
+                    continue
+                if first:
+                    seen.add(kind)
+                sets.append(runs(hashes, width))
             idx = pa.array(at, pa.int64())
             cols = [batch.column(i).take(idx) for i in range(batch.num_columns - 1)]
             n = [len(s) if s is not None else None for s in sets]
@@ -61,12 +64,12 @@ def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
-def one_per_text(table: DataFrame, key: str) -> DataFrame:
-    """(h, n, tri): one row per distinct word sequence; only ids are shuffled to find the later copies."""
+def one_per_text(table: DataFrame, key: str, *also: str) -> DataFrame:
+    """(h, also, n, tri): one row per distinct word sequence and ``also``; only ids are shuffled to find the later copies."""
     holders = table.where("tri IS NOT NULL")
-    least = holders.groupBy("h").agg(F.min(key).alias("_least"), F.count("*").alias("_c")).where("_c > 1")
-    later = holders.select("h", key).join(least, "h").where(F.col(key) != F.col("_least")).select(key)
-    return by_ids(holders, later, key, "left_anti").select("h", "n", "tri")
+    least = holders.groupBy("h", *also).agg(F.min(key).alias("_least"), F.count("*").alias("_c")).where("_c > 1")
+    later = holders.select("h", *also, key).join(least, ["h", *also]).where(F.col(key) != F.col("_least")).select(key)
+    return by_ids(holders, later, key, "left_anti").select("h", *also, "n", "tri")
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
