@@ -398,8 +398,14 @@ class Scorer:
 
 
 def background_windows(docs: DataFrame, net: Network) -> list[str]:
-    """A bounded sample of windows, two of a document, without any listed word."""
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(net.background).collect()
+    """A bounded sample of windows, two of a document, without any listed word.
+
+    The documents are those of the least hashes; only a share that holds about twice as many is sorted and sent.
+    """
+    docs = docs.where("text IS NOT NULL")
+    share = min(1.0, 2 * net.background / max(docs.count(), 1))
+    least = F.xxhash64("doc_id") <= min(2**63 - 1, int(-(2**63) + share * 2**64))
+    rows = docs.where(least).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(net.background).collect()
     rng = np.random.default_rng(net.seed)
     out: list[str] = []
     for _, text in sorted(rows):
