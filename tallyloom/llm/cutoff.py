@@ -3,7 +3,8 @@
 Words and runs of two and three words are counted inside values and at their ends, over all values of all fields. The final
 runs of a value are joined to these counts: a value whose last words are common inside values and almost never end one
 stops inside a sentence; one whose last word is the beginning of far more frequent words stops inside a word. Lengths that
-pile up at the end of an outlet's length distribution, in characters or in bytes, are that outlet's limit. A broken
+pile up at the end of an outlet's length distribution, in characters or in bytes, are that outlet's limit if many values
+there show a cut by their words. A broken
 character, an open quotation mark or a trailing separator at the end also show a cut. A trailing ellipsis alone does not: a
 teaser ends in one, so it is taken off before the end is judged.
 
@@ -69,7 +70,8 @@ WHERE c >= greatest(5, 0.1 * total) AND c >= {pile} * (around - c / 10D) AND coa
 
 CASES_SQL = """
 WITH marked AS (
-  SELECT v.*, coalesce(lc.n IS NOT NULL, false) OR coalesce(lb.n IS NOT NULL, false) AS at_limit
+  SELECT v.*, lc.n IS NOT NULL OR lb.n IS NOT NULL AS at_limit,
+         CASE WHEN lc.n IS NOT NULL THEN concat('chars ', lc.n) WHEN lb.n IS NOT NULL THEN concat('bytes ', lb.n) END AS pile
   FROM {values} v
   LEFT JOIN {limits} lc ON lc.unit = 'chars' AND lc.field = v.field AND lc.source = v.source AND lc.n = v.n_chars
   LEFT JOIN {limits} lb ON lb.unit = 'bytes' AND lb.field = v.field AND lb.source = v.source AND lb.n = v.n_bytes
@@ -101,9 +103,8 @@ seen AS (
   GROUP BY f.field, f.id, f.v
 ),
 judged AS (
-  SELECT m.field, m.id, m.source, m.v,
+  SELECT m.field, m.id, m.source, m.v, m.pile,
     CASE WHEN m.broken THEN 'broken character'
-         WHEN m.at_limit THEN 'field limit'
          WHEN m.hanging THEN 'trailing separator'
          WHEN m.open_quote THEN 'open quotation'
          WHEN s.longer >= {word} * (s.in1 + s.end1) + 3 THEN 'inside a word'
@@ -116,14 +117,22 @@ judged AS (
 SELECT * FROM judged
 """
 
+#: A pile of lengths is a limit if values there, other than by their length, often enough show a cut.
+LIMITED_SQL = """
+WITH limits AS (SELECT field, source, pile FROM {judged} WHERE pile IS NOT NULL GROUP BY field, source, pile HAVING avg(int(reason IS NOT NULL)) >= {shown})
+SELECT j.field, j.id, j.source, j.v, CASE WHEN l.pile IS NOT NULL THEN 'field limit' ELSE j.reason END AS reason, in1, end1, in2, end2, in3, end3, longer
+FROM {judged} j LEFT JOIN limits l ON l.field = j.field AND l.source = j.source AND l.pile = j.pile
+"""
+
 
-def judged(records: DataFrame, replacements: DataFrame, pile: int = 4, word: int = 10, rare: float = 0.04, least: int = 6) -> DataFrame:
+def judged(records: DataFrame, replacements: DataFrame, pile: int = 4, word: int = 10, rare: float = 0.04, least: int = 6, shown: float = 0.3) -> DataFrame:
     """Every value with the counts of its end and the reason for which it is a case, or null."""
     spark = records.sparkSession
     values = spark.sql(VALUES_SQL, records=records.select("id", "source", "headline"), replacements=replacements.select("id", "replacement_headline"))
     values = keep(values, "cutoff-values")
     limits = spark.sql(LIMITS_SQL, values=values, pile=pile)
-    return spark.sql(CASES_SQL, values=values, limits=limits, word=word, rare=rare, least=least)
+    found = keep(spark.sql(CASES_SQL, values=values, limits=limits, word=word, rare=rare, least=least), "cutoff-judged")
+    return spark.sql(LIMITED_SQL, judged=found, shown=shown)
 
 
 def cut_off(records: DataFrame, replacements: DataFrame) -> DataFrame:
