@@ -42,6 +42,7 @@ ends AS (
 )
 SELECT field, id, source, v, core, broken,
        core RLIKE '[|:;,(\\[]\\s*$' AS hanging,
+       core RLIKE '[.!?"”״׳)]\\s*$' AS closed,
        (char_length(unquoted) - char_length(regexp_replace(unquoted, '["“”״]', ''))) % 2 = 1 AS open_quote,
        char_length(v) AS n_chars, octet_length(v) AS n_bytes,
        filter(transform(split(core, '\\s+'), w ->
@@ -107,10 +108,11 @@ judged AS (
     CASE WHEN m.broken THEN 'broken character'
          WHEN m.hanging THEN 'trailing separator'
          WHEN m.open_quote THEN 'open quotation'
+         WHEN m.closed THEN NULL
          WHEN s.longer >= {word} * (s.in1 + s.end1) + 3 THEN 'inside a word'
-         WHEN s.in1 >= {least} AND s.end1 <= {rare} * s.in1 THEN 'inside a sentence'
-         WHEN s.end1 <= 0.1 * s.in1 AND s.in2 >= 3 * {least} AND s.end2 <= {rare} / 4 * s.in2 THEN 'inside a sentence'
-         WHEN s.end1 <= 0.1 * s.in1 AND s.in3 >= 2 * {least} AND s.end3 <= {rare} / 4 * s.in3 THEN 'inside a sentence'
+         WHEN s.end1 + 0.5 <= {rare} * (s.in1 + 1) THEN 'inside a sentence'
+         WHEN s.end1 <= 0.1 * s.in1 AND s.end2 + 0.5 <= {rare} / 2 * (s.in2 + 1) THEN 'inside a sentence'
+         WHEN s.end1 <= 0.1 * s.in1 AND s.end3 + 0.5 <= {rare} / 2 * (s.in3 + 1) THEN 'inside a sentence'
     END AS reason, s.in1, s.end1, s.in2, s.end2, s.in3, s.end3, s.longer
   FROM marked m JOIN seen s ON m.field = s.field AND m.id = s.id AND m.v = s.v
 )
@@ -125,13 +127,13 @@ FROM {judged} j LEFT JOIN limits l ON l.field = j.field AND l.source = j.source
 """
 
 
-def judged(records: DataFrame, replacements: DataFrame, pile: int = 4, word: int = 10, rare: float = 0.04, least: int = 6, shown: float = 0.3) -> DataFrame:
+def judged(records: DataFrame, replacements: DataFrame, pile: int = 4, word: int = 10, rare: float = 0.025, shown: float = 0.3) -> DataFrame:
     """Every value with the counts of its end and the reason for which it is a case, or null."""
     spark = records.sparkSession
     values = spark.sql(VALUES_SQL, records=records.select("id", "source", "headline"), replacements=replacements.select("id", "replacement_headline"))
     values = keep(values, "cutoff-values")
     limits = spark.sql(LIMITS_SQL, values=values, pile=pile)
-    found = keep(spark.sql(CASES_SQL, values=values, limits=limits, word=word, rare=rare, least=least), "cutoff-judged")
+    found = keep(spark.sql(CASES_SQL, values=values, limits=limits, word=word, rare=rare), "cutoff-judged")
     return spark.sql(LIMITED_SQL, judged=found, shown=shown)
 
 
