@@ -65,25 +65,25 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
-def posteriors(owner: np.ndarray, who: np.ndarray, x: np.ndarray, items: int, s: np.ndarray, prior: np.ndarray, p: Entropy, inner: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _by_item(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Sums per item; ``owner`` is sorted and every item has a label."""
+    return np.add.reduceat(values, np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
+
+
+def posteriors(owner: np.ndarray, who: np.ndarray, x: np.ndarray, s: np.ndarray, prior: np.ndarray, p: Entropy) -> tuple[np.ndarray, np.ndarray]:
     """(label posteriors q, item parameters t) given the annotators' s: item ascent alternating with the posterior."""
     k = s.shape[1]
-    t = np.zeros((items, k, k))
+    t = np.zeros((int(owner[-1]) + 1, k, k))
     rows = np.arange(len(x))
-    for step in range((p.inner if inner is None else inner) + 1):
+    seen = np.zeros((len(x), k, k))
+    seen[rows, :, x] = 1
+    for step in range(p.inner + 1):
         logp = _log_softmax(s[who] + t[owner])  # observation, true label, given label
-        fit = np.zeros((items, k))
-        np.add.at(fit, owner, logp[rows, :, x])
-        q = np.exp(_log_softmax(np.log(prior) + fit))
-        if step == (p.inner if inner is None else inner):
-            break
-        prob, w = np.exp(logp), q[owner][:, :, None]
-        seen = np.zeros_like(prob)
-        seen[rows, :, x] = 1
-        g, h = np.zeros_like(t), np.zeros_like(t)
-        np.add.at(g, owner, w * (seen - prob))
-        np.add.at(h, owner, w * prob * (1 - prob))
-        t = t + (g - p.item_penalty * t) / (h + p.item_penalty)
+        q = np.exp(_log_softmax(np.log(prior) + _by_item(logp[rows, :, x], owner)))
+        if step < p.inner:
+            prob, w = np.exp(logp), q[owner][:, :, None]
+            g, h = _by_item(w * (seen - prob), owner), _by_item(w * prob * (1 - prob), owner)
+            t = t + (g - p.item_penalty * t) / (h + p.item_penalty)
     return q, t
 
 
@@ -101,57 +101,94 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int = 2000) -> Iterator[pa.
             yield batch.slice(a, size)
 
 
-def _fit(items: DataFrame, annotators: int, k: int, p: Entropy) -> tuple[np.ndarray, np.ndarray]:
-    """(s, prior) of one task. s is (2 * annotators, k, k): slot order 0 of all annotators, then 1."""
-    s: np.ndarray | None = None
-    prior = np.full(k, 1 / k)
-    pooled = None
-    for _ in range(p.rounds):
-        given, now = s, prior
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g, h = np.zeros((2 * annotators, k, k)), np.zeros((2 * annotators, k, k))
-            mass = np.zeros(k)
-            for batch in _pieces(batches):
-                owner, who, x = _lists(batch)
-                rows = np.arange(len(x))
-                seen = np.zeros((len(x), k, k))
-                seen[rows, :, x] = 1
-                if given is None:  # the start: shares of the votes, and plain confusion counts
-                    q = np.zeros((batch.num_rows, k))
-                    np.add.at(q, (owner, x), 1.0)
-                    q /= q.sum(axis=1, keepdims=True)
-                    np.add.at(g, who, q[owner][:, :, None] * seen)
-                else:
-                    q, t = posteriors(owner, who, x, batch.num_rows, given, now, p)
-                    prob, w = np.exp(_log_softmax(given[who] + t[owner])), q[owner][:, :, None]
-                    np.add.at(g, who, w * (seen - prob))
-                    np.add.at(h, who, w * prob * (1 - prob))
-                mass += q.sum(axis=0)
-            at = np.arange(g.size + k)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(g.reshape(-1), mass)), pa.array(np.append(h.reshape(-1), np.zeros(k)))], names=["at", "g", "h"])
-
-        total = items.mapInArrow(sums, "at bigint, g double, h double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-        g, h = np.zeros(2 * annotators * k * k + k), np.zeros(2 * annotators * k * k + k)
-        at = total.column("at").to_numpy()
-        g[at], h[at] = total.column("g").to_numpy(), total.column("h").to_numpy()
-        mass, shape = g[-k:], (2, annotators, k, k)
-        g, h = g[:-k].reshape(shape), h[:-k].reshape(shape)
-        prior = (mass + 1) / (mass.sum() + k)
-        if s is None:
+def _start(owner: np.ndarray, who: np.ndarray, x: np.ndarray, k: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first pass: posteriors are shares of the votes, and plain confusion counts stand for the gradient."""
+    q = np.zeros((int(owner[-1]) + 1, k))
+    np.add.at(q, (owner, x), 1.0)
+    q /= q.sum(axis=1, keepdims=True)
+    g = np.zeros((size, k, k))
+    seen = np.zeros((len(x), k, k))
+    seen[np.arange(len(x)), :, x] = 1
+    np.add.at(g, who, q[owner][:, :, None] * seen)
+    return g, np.zeros_like(g), q.sum(axis=0)
+
+
+def _gradient(owner: np.ndarray, who: np.ndarray, x: np.ndarray, s: np.ndarray, prior: np.ndarray, p: Entropy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient and curvature of every annotator's parameters, and the labels' posterior mass."""
+    q, t = posteriors(owner, who, x, s, prior, p)
+    prob, w = np.exp(_log_softmax(s[who] + t[owner])), q[owner][:, :, None]
+    seen = np.zeros_like(prob)
+    seen[np.arange(len(x)), :, x] = 1
+    g, h = np.zeros_like(s), np.zeros_like(s)
+    np.add.at(g, who, w * (seen - prob))
+    np.add.at(h, who, w * prob * (1 - prob))
+    return g, h, q.sum(axis=0)
+
+
+class _Ascent:
+    """The annotators' side of the dual for one task: two parameter tables per annotator, one per slot order."""
+
+    def __init__(self, annotators: int, k: int, p: Entropy):
+        self.shape, self.p = (2, annotators, k, k), p
+        self.prior = np.full(k, 1 / k)
+        self.s: np.ndarray | None = None
+        self.pooled: np.ndarray | None = None
+
+    def step(self, g: np.ndarray, h: np.ndarray, mass: np.ndarray) -> None:
+        g, h = g.reshape(self.shape), h.reshape(self.shape)
+        self.prior = (mass + 1) / (mass.sum() + len(mass))
+        if self.s is None:
             base = g.sum(axis=(0, 1)) + 1  # all annotators together smooth each one
             base = base / base.sum(axis=-1, keepdims=True)
-            pooled = np.log(base)
             both = g.sum(axis=0, keepdims=True) + 2 * base
-            both = both / both.sum(axis=-1, keepdims=True)
-            own = g + 4 * both
-            s = np.log(own / own.sum(axis=-1, keepdims=True)).reshape(-1, k, k)
+            own = g + 4 * both / both.sum(axis=-1, keepdims=True)
+            self.pooled, s = np.log(base), np.log(own / own.sum(axis=-1, keepdims=True))
         else:
-            mean = s.reshape(shape).mean(axis=0, keepdims=True)
-            centre = 0.5 * mean + 0.5 * pooled
-            pull = p.annotator_penalty * (s.reshape(shape) - centre)
-            s = (s.reshape(shape) + np.clip((g - pull) / (h + p.annotator_penalty + 0.25 * np.abs(g)), -1, 1)).reshape(-1, k, k)
-    return s, prior
+            s = self.s.reshape(self.shape)
+            centre = 0.5 * s.mean(axis=0, keepdims=True) + 0.5 * self.pooled
+            pull = self.p.annotator_penalty * (s - centre)
+            s = s + np.clip((g - pull) / (h + self.p.annotator_penalty + 0.25 * np.abs(g)), -1, 1)
+        self.s = s.reshape(-1, *self.shape[2:])
+
+
+def _by_task(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    tasks = np.array(batch.column("task").to_pylist())
+    for task in LABELS:
+        part = batch.filter(pa.array(tasks == task)) if len(tasks) else batch
+        if part.num_rows:
+            yield task, part
+
+
+def _fit(items: DataFrame, annotators: int, p: Entropy) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(s, prior) per task; one pass over the items a round serves all tasks."""
+    state = {task: _Ascent(annotators, len(labels), p) for task, labels in LABELS.items()}
+    for _ in range(p.rounds):
+        now = {task: (a.s, a.prior) for task, a in state.items()}
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[str, list[np.ndarray]] = {}
+            for batch in _pieces(batches):
+                for task, part in _by_task(batch):
+                    s, prior = now[task]
+                    k = len(prior)
+                    lists = _lists(part)
+                    found = _start(*lists, k, 2 * annotators) if s is None else _gradient(*lists, s, prior, p)
+                    total[task] = [a + b for a, b in zip(total[task], found)] if task in total else list(found)
+            for task, (g, h, mass) in total.items():
+                at = np.arange(g.size + len(mass))
+                cols = [pa.array([task] * len(at)), pa.array(at), pa.array(np.append(g.reshape(-1), mass)), pa.array(np.append(h.reshape(-1), np.zeros(len(mass))))]
+                yield pa.RecordBatch.from_arrays(cols, names=["task", "at", "g", "h"])
+
+        out = items.mapInArrow(sums, "task string, at bigint, g double, h double").groupBy("task", "at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+        task_of = np.array(out.column("task").to_pylist(), dtype=object)
+        for task, a in state.items():
+            mine = task_of == task
+            k = a.shape[-1]
+            g, h = np.zeros(2 * annotators * k * k + k), np.zeros(2 * annotators * k * k + k)
+            at = out.column("at").to_numpy()[mine]
+            g[at], h[at] = out.column("g").to_numpy()[mine], out.column("h").to_numpy()[mine]
+            a.step(g[:-k], h[:-k], g[-k:])
+    return {task: (a.s, a.prior) for task, a in state.items()}
 
 
 def _items(log: DataFrame, p: Entropy) -> tuple[DataFrame, list[str]]:
@@ -173,18 +210,15 @@ def _items(log: DataFrame, p: Entropy) -> tuple[DataFrame, list[str]]:
 def _judged(log: DataFrame, p: Entropy) -> tuple[DataFrame, dict[str, tuple[np.ndarray, np.ndarray]], list[str]]:
     ship(log.sparkSession)
     items, names = _items(log, p)
-    fits = {task: _fit(items.where(F.col("task") == task), len(names), len(labels), p) for task, labels in LABELS.items()}
+    fits = _fit(items, len(names), p)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            tasks = np.array(batch.column("task").to_pylist())
-            for task, (s, prior) in fits.items():
-                part = batch.filter(pa.array(tasks == task))
-                if not part.num_rows:
-                    continue
+            for task, part in _by_task(batch):
+                s, prior = fits[task]
                 owner, who, x = _lists(part)
                 k = len(prior)
-                q, _ = posteriors(owner, who, x, part.num_rows, s, prior, p)
+                q, _ = posteriors(owner, who, x, s, prior, p)
                 best = q.argmax(axis=1)
                 votes = np.zeros((part.num_rows, k))
                 np.add.at(votes, (owner, x), 1)
