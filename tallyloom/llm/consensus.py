@@ -39,8 +39,8 @@ LABELS = {"rubric": RUBRIC, "pairwise": PAIRWISE}
 class Entropy:
     rounds: int = 10
     inner: int = 3
-    annotator_penalty: float = 0.5
-    item_penalty: float = 8.0
+    annotator_penalty: float = 2.0
+    item_penalty: float = 20.0
     max_annotators: int = 100_000
 
 
