@@ -51,7 +51,8 @@ class Network:
     batch: int = 64
     rate: float = 0.004
     max_samples: int = 20_000
-    background: int = 1_500
+    background: int = 3_000
+    mining: tuple[int, ...] = (5, 8, 11)
     seed: int = 5
 
 
@@ -221,6 +222,25 @@ def vectors(p: dict, rows: list[tuple[int, list[int], tuple[int, ...]]]) -> np.n
     return out
 
 
+def likely_clean(background: list[list[str]], by: dict[str, list[list[str]]]) -> list[list[str]]:
+    """Background windows without two words that labelled bad texts have and the background nearly lacks."""
+    seen: dict[str, int] = {}
+    for ws in background:
+        for w in set(ws):
+            seen[w] = seen.get(w, 0) + 1
+    rare = {w for y in LABELS[1:] for ws in by[y] for w in ws if seen.get(w, 0) <= max(1, len(background) // 2000)}
+    return [ws for ws in background if sum(w in rare for w in ws) < 2]
+
+
+def hard_windows(p: dict, background: list[list[str]], net: Network) -> list[list[str]]:
+    scorer = Scorer(p, net)
+    ids = np.zeros((len(background), net.window), np.int32)
+    for i, ws in enumerate(background):
+        scorer._rows(ws)
+        ids[i, : len(ws)] = [scorer.index[w] for w in ws[: net.window]]
+    return [background[i] for i in np.flatnonzero(1 - scorer._windows(ids)[:, 0] > 0.15)]
+
+
 def train(sentences: list[tuple[str, str]], background: list[str], net: Network) -> dict[str, np.ndarray]:
     """Fit on (sentence, label) and on background sentences, which are clean."""
     rng = np.random.default_rng(net.seed)
@@ -228,7 +248,7 @@ def train(sentences: list[tuple[str, str]], background: list[str], net: Network)
     by = {label: [plain_words(s) for s, y in sentences if y == label] for label in LABELS}
     rest = [plain_words(s) for s in background]
     by["clean"] = [w for w in by["clean"] if w] or [["-"]]
-    rest = [w for w in rest if w] or by["clean"]
+    rest = likely_clean([w for w in rest if w], by) or by["clean"]
     bad = [y for y in LABELS[1:] if any(by[y])]
 
     def disguise(w: str) -> str:
@@ -252,7 +272,7 @@ def train(sentences: list[tuple[str, str]], background: list[str], net: Network)
         label = bad[rng.integers(len(bad))] if bad and rng.random() < 0.5 else "clean"
         if label == "clean":
             seq = rest[rng.integers(len(rest))] if rng.random() < 0.5 else clean_part(net.window)
-            seq = seq[: net.window]
+            seq = seq[int(rng.integers(len(seq))) if rng.random() < 0.5 else 0 :][: net.window]
             while len(seq) < net.window and rng.random() < 0.75:
                 seq = seq + clean_part(net.window - len(seq))
         else:
@@ -264,13 +284,22 @@ def train(sentences: list[tuple[str, str]], background: list[str], net: Network)
             seq = a + core + b
         x[i, : len(seq)] = [vocabulary(w) if rng.random() > 0.04 else vocabulary("unseenword") for w in seq]
         y[i] = LABELS.index(label)
+    for w in {w for ws in rest for w in ws}:
+        vocabulary(w)
     e, f, owner, chars = vocabulary.arrays()
     share = (1 / np.maximum(np.bincount(owner, minlength=len(e)), 1)).astype(np.float32)
     first = np.searchsorted(owner, np.arange(len(e) + 1))
     h, width = net.hidden, net.width
+    clean_rows = np.flatnonzero(y == 0)
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     count = 0
     for epoch in range(net.epochs):
+        if epoch in net.mining:  # background windows that still look bad take the place of some clean rows
+            hard = hard_windows(p, rest, net)
+            for row in rng.permutation(clean_rows)[: min(len(clean_rows) // 4, 12 * len(hard))]:
+                seq = hard[rng.integers(len(hard))]
+                x[row] = 0
+                x[row, : len(seq)] = [vocabulary(w) for w in seq]
         order = rng.permutation(net.size)
         for at in range(0, net.size, net.batch):
             pick = order[at : at + net.batch]
@@ -398,7 +427,7 @@ class Scorer:
 
 
 def background_windows(docs: DataFrame, net: Network) -> list[str]:
-    """A bounded sample of windows, two of a document, without any listed word.
+    """The windows without any listed word of a bounded sample of documents.
 
     The documents are those of the least hashes; only a share that holds about twice as many is sorted and sent.
     """
@@ -406,13 +435,10 @@ def background_windows(docs: DataFrame, net: Network) -> list[str]:
     share = min(1.0, 2 * net.background / max(docs.count(), 1))
     least = F.xxhash64("doc_id") <= min(2**63 - 1, int(-(2**63) + share * 2**64))
     rows = docs.where(least).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(net.background).collect()
-    rng = np.random.default_rng(net.seed)
     out: list[str] = []
     for _, text in sorted(rows):
         parts = windows(plain_words(text), net)
-        parts = [w for w in parts if w and not any(any(flags(x)) for x in w)]
-        keep = {int(i) for i in rng.permutation(len(parts))[:1]} | ({len(parts) - 1} if parts else set())
-        out += [" ".join(parts[i]) for i in sorted(keep)]
+        out += [" ".join(w) for w in parts if w and not any(any(flags(x)) for x in w)]
     return out
 
 
