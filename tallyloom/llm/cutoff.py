@@ -113,16 +113,17 @@ judged AS (
          WHEN s.end1 + 0.5 <= {rare} * (s.in1 + 1) THEN 'inside a sentence'
          WHEN s.end1 <= 0.1 * s.in1 AND s.end2 + 0.5 <= {rare} / 2 * (s.in2 + 1) THEN 'inside a sentence'
          WHEN s.end1 <= 0.1 * s.in1 AND s.end3 + 0.5 <= {rare} / 2 * (s.in3 + 1) THEN 'inside a sentence'
-    END AS reason, s.in1, s.end1, s.in2, s.end2, s.in3, s.end3, s.longer
+    END AS reason, NOT m.v RLIKE '\\s$' AND (m.closed OR (s.end1 >= 5 AND s.end1 >= 2 * s.in1 AND s.end2 > 0)) AS usual, s.in1, s.end1, s.in2, s.end2, s.in3, s.end3, s.longer
   FROM marked m JOIN seen s ON m.field = s.field AND m.id = s.id AND m.v = s.v
 )
 SELECT * FROM judged
 """
 
-#: A pile of lengths is a limit if values there, other than by their length, often enough show a cut.
+#: A pile of lengths is a limit if values there, other than by their length, often enough show a cut. A value of just that
+#: length whose end is a usual one came whole.
 LIMITED_SQL = """
 WITH limits AS (SELECT field, source, pile FROM {judged} WHERE pile IS NOT NULL GROUP BY field, source, pile HAVING avg(int(reason IS NOT NULL)) >= {shown})
-SELECT j.field, j.id, j.source, j.v, CASE WHEN l.pile IS NOT NULL THEN 'field limit' ELSE j.reason END AS reason, in1, end1, in2, end2, in3, end3, longer
+SELECT j.field, j.id, j.source, j.v, CASE WHEN l.pile IS NOT NULL AND NOT usual THEN 'field limit' ELSE j.reason END AS reason, in1, end1, in2, end2, in3, end3, longer
 FROM {judged} j LEFT JOIN limits l ON l.field = j.field AND l.source = j.source AND l.pile = j.pile
 """
 
