@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.text import script_words, spans_of
-from tallyloom.session import ship
+from tallyloom.session import keep, ship
 
 TAIL_SIZE, SUPPORT = 5, 5
 
@@ -47,12 +47,14 @@ def tail_members(records: DataFrame, size: int = TAIL_SIZE, support: int = SUPPO
     words = records.select("id", script_words("text").alias("ws")).where(F.size("ws") >= size)
     seeded = words.withColumn("seed", F.array_join(F.slice("ws", -size, size), " "))
     seeds = seeded.groupBy("seed").agg(F.count("*").alias("c")).where(F.col("c") >= support).select("seed")
-    rows = _suffix_rows(seeded.join(seeds, "seed", "left_semi").select("id", "ws"), size)
+    # few texts survive; they are kept, so the words of all texts aren't made again
+    survivors = keep(seeded.join(seeds, "seed", "left_semi").select("id", "ws"), "tails")
+    rows = _suffix_rows(survivors, size)
     supported = rows.groupBy("h", "length").agg(F.count("*").alias("c")).where(F.col("c") >= support).select("h", "length")
     deepest = rows.join(supported, ["h", "length"]).groupBy("id").agg(F.max(F.struct("length", "h")).alias("d")).select("id", "d.length", "d.h")
     kept = deepest.groupBy("h", "length").agg(F.count("*").alias("c")).where(F.col("c") >= support).select("h", "length")
     mine = deepest.join(kept, ["h", "length"], "left_semi")
-    return mine.join(words, "id").select("id", F.array_join(F.expr("slice(ws, -length, length)"), " ").alias("tail"), "length")
+    return mine.join(survivors, "id").select("id", F.array_join(F.expr("slice(ws, -length, length)"), " ").alias("tail"), "length")
 
 
 def tail_candidates(records: DataFrame, size: int = TAIL_SIZE, support: int = SUPPORT) -> DataFrame:

@@ -11,12 +11,6 @@ from tallyloom.schemas import SOURCE_LABELS
 TOKEN_BUDGET, MAX_PIPES = 4000, 1
 
 
-def first_per(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each ``key`` by ``order``, with map-side reduction instead of a sort."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
-
-
 def within_budget(text_tokens: Column, headline_tokens: Column, budget: int = TOKEN_BUDGET) -> Column:
     return text_tokens + headline_tokens <= budget
 

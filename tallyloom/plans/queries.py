@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as X
 from tallyloom.operators import agreement as A
 from tallyloom.operators import boilerplate as B
+from tallyloom.operators import joins as N
 from tallyloom.operators import judge as J
 from tallyloom.operators import ledger as L
 from tallyloom.operators import quality as Q
@@ -28,7 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def records(s: SparkSession, d: str) -> DataFrame:
     """The first delivery of each record."""
-    return L.first_per(t(s, d, "records").select("id", "pos", "text", "headline", "source").where("id IS NOT NULL"), "id", "pos")
+    return N.first_per(t(s, d, "records").select("id", "pos", "text", "headline", "source").where("id IS NOT NULL"), "id", "pos")
 
 
 def rows(s: SparkSession, d: str) -> DataFrame:

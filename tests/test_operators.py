@@ -248,3 +248,14 @@ def test_checks(spark):
     steps = spark.createDataFrame([(1, 9.0), (2, 9.0), (3, 1.0), (4, 3.0)], "step int, seconds double")
     r = Q.step_times(steps, total_steps=1800).first()
     assert (r.n, r.median_s, r.min_s, r.projected_hours) == (2, 2.0, 1.0, 1.0)
+
+
+def test_first_per_and_ids(spark, monkeypatch):
+    from tallyloom.operators import joins as N
+
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, None), (None, 4, "z"), (None, 5, "w")], "id string, pos int, text string")
+    want = [("a", 1, "y"), ("b", 2, None), (None, 4, "z")]
+    for limit in (N.BROADCAST_IDS, 0):  # broadcast, and the other way beyond the bound
+        monkeypatch.setattr(N, "BROADCAST_IDS", limit)
+        assert sorted((tuple(r) for r in N.first_per(df, "id", "pos").collect()), key=lambda r: r[1]) == want
+    assert N.first_per(df.limit(0), "id", "pos").count() == 0
