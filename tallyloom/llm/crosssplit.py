@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shingles import by_ids, flat, one_per_text, shingle_table
+from tallyloom.llm.shingles import flat, one_per_text, shingle_table
+from tallyloom.operators.joins import by_ids
 from tallyloom.session import keep
 
 

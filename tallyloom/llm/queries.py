@@ -63,6 +63,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORDS = r"regexp_extract_all(lower(regexp_replace(text, '[\p{M}\p{Cf}]', '', 'g')), '[\p{L}\p{N}]+')"
 _TRIGRAMS = "unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g"
+_PAIRS = f"""w AS (SELECT pos, {_WORDS} AS ws FROM records WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT pos, {_TRIGRAMS} FROM w WHERE len(ws) >= 30),
+n AS (SELECT pos, count(*) AS n FROM g GROUP BY pos),
+pairs AS (SELECT a.pos AS pos_a, b.pos AS pos_b FROM g a JOIN g b ON a.g = b.g AND a.pos < b.pos JOIN n na ON na.pos = a.pos JOIN n nb ON nb.pos = b.pos
+  GROUP BY a.pos, b.pos, na.n, nb.n HAVING 2 * count(*) >= na.n + nb.n - count(*))"""
 _QUOTA = """
 WITH held AS (SELECT source_label, headline_action, multi_pipe, count(DISTINCT hesum_id) AS available FROM row_labels WHERE hesum_id IS NOT NULL GROUP BY ALL),
 size AS (SELECT CAST(floor(count(DISTINCT hesum_id) / 10) AS BIGINT) AS n FROM row_labels),
@@ -90,20 +95,7 @@ drawn AS (SELECT hesum_id, target_id, NOT hit AS repaired FROM got WHERE hit OR
 """
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p1_found": f"""
-WITH w AS (SELECT pos, {_WORDS} AS ws FROM records WHERE text IS NOT NULL),
-g AS (SELECT DISTINCT pos, {_TRIGRAMS} FROM w WHERE len(ws) >= 30),
-n AS (SELECT pos, count(*) AS n FROM g GROUP BY pos)
-SELECT a.pos AS pos_a, b.pos AS pos_b FROM g a JOIN g b ON a.g = b.g AND a.pos < b.pos JOIN n na ON na.pos = a.pos JOIN n nb ON nb.pos = b.pos
-GROUP BY a.pos, b.pos, na.n, nb.n HAVING 2 * count(*) >= na.n + nb.n - count(*)""",
-        "p4_found": _QUOTA + "SELECT target_id FROM quota WHERE available < need",
-        "p4_report": _QUOTA
-        + """SELECT q.target_id, pct, need, available, count(d.target_id) AS drawn, count(*) FILTER (d.repaired) AS repaired, available >= need AS can_be_met
-FROM quota q LEFT JOIN drawn d ON q.target_id = d.target_id GROUP BY q.target_id, pct, need, available""",
-        "p4_sample": _QUOTA + "SELECT * FROM drawn",
-        "p5_found": f"""
+_NEAR = f"""
 WITH r AS (
   SELECT split, hesum_id AS key, text FROM curated_records WHERE split IN ('train', 'val', 'test')
   UNION ALL SELECT 'predictions', CAST(pos AS VARCHAR), text FROM predictions_curated),
@@ -112,11 +104,30 @@ g AS (SELECT DISTINCT text, {_TRIGRAMS} FROM w WHERE len(ws) >= 3),
 n AS (SELECT text, count(*) AS n FROM g GROUP BY text),
 t AS (SELECT DISTINCT text FROM r WHERE split = 'train'), e AS (SELECT DISTINCT text FROM r WHERE split <> 'train'),
 near AS (
-  SELECT a.text AS et, b.text AS tt FROM g a JOIN g b ON a.g = b.g JOIN n na ON na.text = a.text JOIN n nb ON nb.text = b.text
+  SELECT a.text AS et, b.text AS tt, count(*) / (na.n + nb.n - count(*)) AS similarity FROM g a JOIN g b ON a.g = b.g JOIN n na ON na.text = a.text JOIN n nb ON nb.text = b.text
   WHERE a.text IN (SELECT text FROM e) AND b.text IN (SELECT text FROM t)
   GROUP BY a.text, b.text, na.n, nb.n HAVING 2 * count(*) >= na.n + nb.n - count(*))
-SELECT DISTINCT x.split, x.key AS eval_key, y.key AS train_id FROM near JOIN r x ON x.text = et AND x.split <> 'train' JOIN r y ON y.text = tt AND y.split = 'train'
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": f"WITH {_PAIRS} SELECT pos_a, pos_b FROM pairs",
+        "p1_groups": f"""WITH RECURSIVE {_PAIRS},
+links AS (SELECT pos_a AS a, pos_b AS b FROM pairs UNION SELECT pos_b, pos_a FROM pairs),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT pos, least(pos, coalesce(low.b, pos)) AS "group", coalesce(n, 0) AS n_links FROM records LEFT JOIN low ON low.a = pos LEFT JOIN degree ON degree.a = pos""",
+        "p4_found": _QUOTA + "SELECT target_id FROM quota WHERE available < need",
+        "p4_report": _QUOTA
+        + """SELECT q.target_id, pct, need, available, count(d.target_id) AS drawn, count(*) FILTER (d.repaired) AS repaired, available >= need AS can_be_met
+FROM quota q LEFT JOIN drawn d ON q.target_id = d.target_id GROUP BY q.target_id, pct, need, available""",
+        "p4_sample": _QUOTA + "SELECT * FROM drawn",
+        "p5_found": _NEAR + """SELECT DISTINCT x.split, x.key AS eval_key, y.key AS train_id FROM near JOIN r x ON x.text = et AND x.split <> 'train' JOIN r y ON y.text = tt AND y.split = 'train'
 WHERE x.key IS NOT NULL AND y.key IS NOT NULL""",
+        "p5_report": _NEAR + """, found AS (SELECT x.split, x.key AS eval_key, y.key AS train_id, max(similarity) AS similarity FROM near JOIN r x ON x.text = et AND x.split <> 'train' JOIN r y ON y.text = tt AND y.split = 'train'
+WHERE x.key IS NOT NULL AND y.key IS NOT NULL GROUP BY ALL), src AS (SELECT DISTINCT hesum_id, source FROM curated_records WHERE split = 'train')
+SELECT split, source, count(DISTINCT eval_key) AS n_eval, count(DISTINCT train_id) AS n_train, count(*) FILTER (similarity >= 1) AS n_exact, count(*) FILTER (similarity < 1) AS n_near FROM found JOIN src ON hesum_id = train_id GROUP BY ALL""",
         "p8_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items WHERE text IS NOT NULL),

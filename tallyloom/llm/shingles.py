@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.wordform import WordHasher, digest, runs, words
+from tallyloom.operators.joins import by_ids
 from tallyloom.session import keep, ship
 
 
@@ -54,16 +55,6 @@ def shingle_table(df: DataFrame, text: str, keys: list[str], width: int, min_wor
     return keep(picked.mapInArrow(run, schema), tag)
 
 
-#: Ids up to this number (8 MB) may be broadcast; more go through a shuffle join.
-BROADCAST_IDS = 1_000_000
-
-
-def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """Semi or anti join with a table of distinct ids, which is counted first: broadcast within a bound, else shuffled."""
-    ids = keep(ids, "ids")
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
-
-
 def one_per_text(table: DataFrame, key: str, *also: str) -> DataFrame:
     """(h, also, n, tri): one row per distinct word sequence and ``also``; only ids are shuffled to find the later copies."""
     holders = table.where("tri IS NOT NULL")
