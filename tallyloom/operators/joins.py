@@ -24,3 +24,9 @@ def first_per(df: DataFrame, key: str, order: str) -> DataFrame:
     places = df.select(F.col(key).alias("_k"), order)
     later = places.join(least, F.col("_k").eqNullSafe(F.col(key))).where(F.col(order) > F.col("_m")).select(order)
     return by_ids(df, later, order, "left_anti").select(*df.columns)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer partitions than cores, by hash over all cores; a larger one as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.rdd().getNumPartitions() < cores else df
