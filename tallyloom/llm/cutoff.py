@@ -4,9 +4,10 @@ Words and runs of two and three words are counted inside values and at their end
 runs of a value are joined to these counts: a value whose last words are common inside values and almost never end one
 stops inside a sentence; one whose last word is the beginning of far more frequent words stops inside a word. Lengths that
 pile up at the end of an outlet's length distribution, in characters or in bytes, are that outlet's limit if many values
-there show a cut by their words. A broken
-character, an open quotation mark or a trailing separator at the end also show a cut. A trailing ellipsis alone does not: a
-teaser ends in one, so it is taken off before the end is judged.
+there show a cut by their words. A cut at a number of bytes may fall inside a letter, whose rest is then dropped, so a value
+that is short of a limit in bytes by less than a letter counts as one of that length. A broken character, an open quotation
+mark or a trailing separator at the end also show a cut. A trailing ellipsis alone does not: a teaser ends in one, so it is
+taken off before the end is judged.
 
 Scale: everything is grouped by short runs with partial aggregation; a hot run (a third of all values may end alike) is one
 counter. Counts of one outlet's lengths are bounded by its longest value.
@@ -69,13 +70,23 @@ SELECT field, source, unit, n FROM near
 WHERE c >= greatest(5, 0.1 * total) AND c >= {pile} * (around - c / 10D) AND coalesce(beyond, 0) <= 0.2 * total
 """
 
+#: A letter of 2, 3 or 4 bytes that was cut leaves up to 1, 2 or 3 bytes free; values without such letters must fill the limit.
 CASES_SQL = """
-WITH marked AS (
+WITH reach AS (
+  SELECT field, source, n - free AS at, min(n) AS n FROM {limits} LATERAL VIEW explode(array(0, 1, 2, 3)) frees AS free
+  WHERE unit = 'bytes' GROUP BY field, source, n - free
+),
+marked AS (
   SELECT v.*, lc.n IS NOT NULL OR lb.n IS NOT NULL AS at_limit,
-         CASE WHEN lc.n IS NOT NULL THEN concat('chars ', lc.n) WHEN lb.n IS NOT NULL THEN concat('bytes ', lb.n) END AS pile
+         CASE WHEN lc.n IS NOT NULL THEN concat('chars ', lc.n) WHEN lb.n IS NOT NULL THEN concat('bytes ', lb.n) END AS pile,
+         lc.n IS NOT NULL OR coalesce(lb.n = v.n_bytes, false) AS exact
   FROM {values} v
   LEFT JOIN {limits} lc ON lc.unit = 'chars' AND lc.field = v.field AND lc.source = v.source AND lc.n = v.n_chars
-  LEFT JOIN {limits} lb ON lb.unit = 'bytes' AND lb.field = v.field AND lb.source = v.source AND lb.n = v.n_bytes
+  LEFT JOIN reach lb ON lb.field = v.field AND lb.source = v.source AND lb.at = v.n_bytes AND CASE lb.n - lb.at
+    WHEN 0 THEN true
+    WHEN 1 THEN v.v RLIKE '[\\\\x{{80}}-\\\\x{{10FFFF}}&&\\\\p{{L}}]'
+    WHEN 2 THEN v.v RLIKE '[\\\\x{{800}}-\\\\x{{10FFFF}}&&\\\\p{{L}}]'
+    ELSE v.v RLIKE '[\\\\x{{10000}}-\\\\x{{10FFFF}}&&\\\\p{{L}}]' END
 ),
 sized AS (SELECT ws, k, NOT (broken OR at_limit OR hanging) AS sound FROM marked LATERAL VIEW explode(array(1, 2, 3)) ks AS k WHERE size(ws) >= k),
 grams AS (
@@ -104,7 +115,7 @@ seen AS (
   GROUP BY f.field, f.id, f.v
 ),
 judged AS (
-  SELECT m.field, m.id, m.source, m.v, m.pile,
+  SELECT m.field, m.id, m.source, m.v, m.pile, m.exact,
     CASE WHEN m.broken THEN 'broken character'
          WHEN m.hanging THEN 'trailing separator'
          WHEN m.open_quote THEN 'open quotation'
@@ -119,10 +130,10 @@ judged AS (
 SELECT * FROM judged
 """
 
-#: A pile of lengths is a limit if values there, other than by their length, often enough show a cut. A value of just that
-#: length whose end is a usual one came whole.
+#: A pile of lengths is a limit if values of just that length, other than by it, often enough show a cut. A value there whose
+#: end is a usual one came whole.
 LIMITED_SQL = """
-WITH limits AS (SELECT field, source, pile FROM {judged} WHERE pile IS NOT NULL GROUP BY field, source, pile HAVING avg(int(reason IS NOT NULL)) >= {shown})
+WITH limits AS (SELECT field, source, pile FROM {judged} WHERE pile IS NOT NULL GROUP BY field, source, pile HAVING avg(int(reason IS NOT NULL)) FILTER (WHERE exact) >= {shown})
 SELECT j.field, j.id, j.source, j.v, CASE WHEN l.pile IS NOT NULL AND NOT usual THEN 'field limit' ELSE j.reason END AS reason, in1, end1, in2, end2, in3, end3, longer
 FROM {judged} j LEFT JOIN limits l ON l.field = j.field AND l.source = j.source AND l.pile = j.pile
 """

@@ -49,6 +49,21 @@ def test_cut_off(spark):
     assert CO.cut_off(records.limit(0), repl.limit(0)).count() == 0
 
 
+def test_cut_inside_a_letter(spark):
+    rng = random.Random(2)
+    who, what, when = ("השופט", "ראש העיר", "שר הדתות", "דובר בנק"), ("הגשר", "התקציב", "הליגה", "המרפאה"), ("הבוקר", "אתמול", "השבוע", "בערב")
+    said = lambda: f"{rng.choice(who)} פתח את {rng.choice(what)} {rng.choice(when)}"
+    rows = [(str(i), "let", said() + rng.choice(("", " ליד הגשר", " בגלל התקציב"))) for i in range(300)]
+    sent = [f"{'-' * (i % 9 * 2)}{said()} {rng.choice(('ליד', 'בגלל'))} {rng.choice(what)} ועוד {rng.choice(what)} {rng.choice(when)}" for i in range(180)]
+    cut = [(f"c{i}", "byt", v.encode()[:49].decode(errors="ignore")) for i, v in enumerate(sent)]
+    line = "-" * 7 + "השופט פתח את הגשר בערב"
+    whole = [("closed", "byt", line + "."), ("latin", "byt", "the mayor opened one bridge and clinics in haifa"), ("two", "byt", line)]
+    assert {len(v.encode()) for _, _, v in cut} == {48, 49} and [len(v.encode()) for _, _, v in whole] == [48, 48, 47]
+    records = spark.createDataFrame([(*r, "t") for r in rows + cut + whole], "id string, source string, headline string, text string")
+    got = {r.id for r in CO.cut_off(records, spark.createDataFrame([], "id string, replacement_headline string")).collect()}
+    assert got == {k for k, _, _ in cut}
+
+
 # ---- broken answers ----
 
 PROMPT = "ראש העיר פתח את הגשר החדש בחיפה. התושבים ברכו על המהלך!\nהעלות היא 5 מיליון שקלים."
