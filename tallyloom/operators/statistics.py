@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.schemas import LEVELS
+from tallyloom.session import ship
 
 #: The 97.5 % quantile of the normal distribution; shares and effects below which a difference is negligible.
 Z95 = 1.959963984540054
@@ -173,21 +174,55 @@ def transition_matrix(df: DataFrame, before: str, after: str, levels: tuple[int,
     return one.agg(*(F.count_if(F.col(after) == v).alias(f"to_{v}") for v in levels))
 
 
-def quantile_bins(df: DataFrame, x: str, y: str, key: str, bins: int = 16, slots: int = 4096) -> DataFrame:
-    """(bin, n, x_min, x_max, y_mean) of ``bins`` bins of equal size by x, ties by key.
+def binned(df: DataFrame, x: str, y: str, key: str, by: list[str] | None = None, bins: int = 16) -> DataFrame:
+    """(by, bin, _x, _y): every row with an x, in one of ``bins`` bins of equal size by x, ties by key, then y.
 
     Ranks are exact without one global sort in one task: rows are counted per (x, leading hex digits of a hash of the key),
     a bounded table gives the offsets, and rows are ranked inside their slot.
     """
-    rows = df.where(F.col(x).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.md5(F.col(key).cast("string")).alias("_h"), F.col(key).alias("_k"))
+    by = by or []
+    rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_h"), F.col(key).alias("_k"))
     rows = rows.withColumn("_s", F.substring("_h", 1, 2))
-    slot = rows.groupBy("_x", "_s").agg(F.count("*").alias("_c"))
+    slot = rows.groupBy(*by, "_x", "_s").agg(F.count("*").alias("_c"))
     # one window over (distinct x) times 256 rows, a summary, not the rows
-    before = slot.select("_x", "_s", F.coalesce(F.sum("_c").over(W.orderBy("_x", "_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    total = slot.agg(F.sum("_c").alias("_n"))
-    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("_x", "_s").orderBy("_h", "_k"))).join(before, ["_x", "_s"]).crossJoin(F.broadcast(total))
+    before = slot.select(*by, "_x", "_s", F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy("_x", "_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    total = slot.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_x", "_s").orderBy("_h", "_k", "_y"))).join(before, [*by, "_x", "_s"])
+    ranked = ranked.join(F.broadcast(total), by) if by else ranked.crossJoin(F.broadcast(total))
     place = F.col("_r") + F.col("_b") - 1
     big, rest = F.expr(f"_n div {bins}"), F.expr(f"_n % {bins}")
     wide = rest * (big + 1)
     number = F.when(place < wide, F.floor(place / (big + 1))).otherwise(rest + F.floor((place - wide) / F.greatest(big, F.lit(1)))) + 1
-    return ranked.groupBy(number.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min("_x").alias("x_min"), F.max("_x").alias("x_max"), F.round(F.avg("_y"), 6).alias("y_mean"))
+    return ranked.select(*by, number.cast("int").alias("bin"), "_x", "_y")
+
+
+def quantile_bins(df: DataFrame, x: str, y: str, key: str, bins: int = 16, slots: int = 4096) -> DataFrame:
+    """(bin, n, x_min, x_max, y_mean) of ``bins`` bins of equal size by x, ties by key."""
+    rows = binned(df, x, y, key, bins=bins)
+    return rows.groupBy("bin").agg(F.count("*").alias("n"), F.min("_x").alias("x_min"), F.max("_x").alias("x_max"), F.round(F.avg("_y"), 6).alias("y_mean"))
+
+
+def median_of(levels: np.ndarray, counts: np.ndarray) -> float:
+    """The median of sorted levels with their counts."""
+    n, upto = int(counts.sum()), np.cumsum(counts)
+    return float((levels[(upto >= (n + 1) // 2).argmax()] + levels[(upto >= (n + 2) // 2).argmax()]) / 2)
+
+
+def bin_medians(df: DataFrame, x: str, y: str, key: str, by: list[str], bins: int = 16, draws: int = 500, seed: int = 0) -> DataFrame:
+    """(by, bin, n, x_median, y_median, low, high): medians of ``bins`` bins of equal size by x, and y's bootstrap interval.
+
+    A pair that lacks x or y is in no bin. Each task holds the counts of one bin's levels.
+    """
+    rows = binned(df.where(F.col(y).isNotNull()), x, y, key, by, bins)
+    both = F.array(*(F.struct(F.lit(k).alias("kind"), F.col("_" + k).cast("double").alias("level")) for k in ("x", "y")))
+    counts = rows.select(*by, "bin", F.explode(both).alias("v")).groupBy(*by, "bin", "v.kind", "v.level").agg(F.count("*").alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = {k: p.sort_values("level") for k, p in pdf.groupby("kind")}
+        (vx, nx), (vy, ny) = ((part[k]["level"].to_numpy(), part[k]["n"].to_numpy()) for k in ("x", "y"))
+        row = (*pdf[[*by, "bin"]].iloc[0], int(ny.sum()), median_of(vx, nx), median_of(vy, ny), *bootstrap_median_counts(vy, ny, draws, seed))
+        return pd.DataFrame([row], columns=[*by, "bin", "n", "x_median", "y_median", "low", "high"])
+
+    ship(df.sparkSession)
+    kinds = "".join(f"{c} string, " for c in by)
+    return counts.groupBy(*by, "bin").applyInPandas(run, f"{kinds}bin int, n bigint, x_median double, y_median double, low double, high double")

@@ -204,6 +204,10 @@ SELECT dimension, count(*) AS n, round(avg(a), 3) AS mean_a, round(avg(b), 3) AS
         "quantile_bins": f"""WITH {_LONG}, {_POOLED}, {_ROWS}, x AS (SELECT p.hesum_id, round(ln(greatest(article_tokens, 1)), 6) AS v, p.score FROM pooled p JOIN rows_ r ON r.hesum_id = p.hesum_id WHERE dimension = 'faithfulness' AND article_tokens IS NOT NULL),
 b AS (SELECT *, ntile(16) OVER (ORDER BY v, substring(md5(hesum_id), 1, 2), md5(hesum_id), hesum_id) AS bin FROM x)
 SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, min(v) AS x_min, max(v) AS x_max, round(avg(score), 6) AS y_mean FROM b GROUP BY 1""",
+        "lead_bias_medians": f"""WITH {_LONG}, {_POOLED}, {_ROWS}, t AS (SELECT hesum_id, round(ln(greatest(article_tokens, 1)), 6) AS v, headline_lead_overlap FROM rows_ WHERE article_tokens IS NOT NULL),
+x AS (SELECT dimension AS series, hesum_id, v, CAST(score AS DOUBLE) AS y FROM pooled JOIN t USING (hesum_id) UNION ALL SELECT 'headline_lead_overlap', hesum_id, v, headline_lead_overlap FROM t WHERE headline_lead_overlap IS NOT NULL),
+b AS (SELECT *, ntile(16) OVER (PARTITION BY series ORDER BY v, md5(coalesce(hesum_id, '')), hesum_id, y) AS bin FROM x)
+SELECT series, CAST(bin AS INTEGER) AS bin, count(*) AS n, median(v) AS x_median, median(y) AS y_median FROM b GROUP BY 1, 2""",
         "dedupe_latest": f"WITH {_LATEST} SELECT annotator_id, hesum_id, task, pos FROM latest",
         "annotator_counts": "SELECT annotator_id, count(*) AS n, count(*) FILTER (task = 'rubric') AS n_rubric FROM annotations GROUP BY 1",
         "pairwise_rate": _rate(),

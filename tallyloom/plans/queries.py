@@ -122,6 +122,14 @@ def lead_bias(s: SparkSession, d: str) -> DataFrame:
     return S.quantile_bins(y.join(x, "hesum_id"), "log_tokens", "score", "hesum_id")
 
 
+def lead_bias_bins(s: SparkSession, d: str) -> DataFrame:
+    """Binned medians by log article tokens: pooled scores of every dimension, and the lead overlap of all rows."""
+    r = rows(s, d).where("article_tokens IS NOT NULL").select("hesum_id", F.round(F.ln(F.greatest("article_tokens", F.lit(1))), 6).alias("log_tokens"), "headline_lead_overlap")
+    scores = pooled(s, d).join(r, "hesum_id").select(F.col("dimension").alias("series"), "hesum_id", "log_tokens", F.col("score").cast("double").alias("y"))
+    overlap = r.select(F.lit("headline_lead_overlap").alias("series"), "hesum_id", "log_tokens", F.col("headline_lead_overlap").alias("y"))
+    return S.bin_medians(scores.union(overlap), "log_tokens", "y", "hesum_id", ["series"])
+
+
 def e1_summary(s: SparkSession, d: str) -> DataFrame:
     scores = stratum_scores(s, d)
     counts = S.level_counts(scores, ["stratum", "dimension"])
@@ -303,6 +311,8 @@ def queries() -> dict[str, Query]:
         "judge_kappa": lambda s, d: S.kappa(A.against(A.long_scores(log(s, d)), pooled(s, d)), ["annotator_id", "dimension"]),
         "closeness": lambda s, d: S.closeness(A.against(A.long_scores(log(s, d)), pooled(s, d)), ["dimension"]),
         "quantile_bins": lead_bias,
+        "lead_bias_bins": lead_bias_bins,
+        "lead_bias_medians": lambda s, d: lead_bias_bins(s, d).drop("low", "high"),
         # annotations
         "dedupe_latest": lambda s, d: A.latest(log(s, d)).select("annotator_id", "hesum_id", "task", "pos"),
         "annotator_counts": lambda s, d: log(s, d).groupBy("annotator_id").agg(F.count("*").alias("n"), F.count_if(F.col("task") == "rubric").alias("n_rubric")),

@@ -1,6 +1,7 @@
 """Ledger, tails, statistics, agreement, samples and validation against small independent models."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -130,6 +131,28 @@ def test_bins_like_array_split(spark, n):
     assert [k for _, k in got] == [len(p) for p in np.array_split(np.arange(n), 16) if len(p)]
 
 
+def test_bin_medians(spark):
+    rng = np.random.default_rng(3)
+    data = [(g, i, float(v), float(w)) for g, n in (("a", 37), ("b", 200)) for i, (v, w) in enumerate(zip(rng.permutation(n), rng.choice([1, 2, 5], n, p=[0.5, 0.1, 0.4])))]
+    df = spark.createDataFrame([*data, ("a", 500, 1.0, None)], "g string, id int, x double, y double")
+    got = {(r.g, r.bin): r for r in S.bin_medians(df, "x", "y", "id", ["g"]).collect()}
+    assert len(got) == 32
+    for g in "ab":
+        part = sorted((x, y) for k, _, x, y in data if k == g)
+        for b, at in enumerate(np.array_split(np.arange(len(part)), 16), 1):
+            xs, ys, r = [part[i][0] for i in at], [part[i][1] for i in at], got[g, b]
+            assert (r.n, r.x_median, r.y_median) == (len(at), np.median(xs), np.median(ys))
+            assert min(ys) <= r.low <= r.y_median <= r.high <= max(ys)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the test tables")
+def test_lead_bias_covers_all_series(spark):
+    from tallyloom.plans import queries
+
+    got = queries.queries()["lead_bias_bins"](spark, "/root/testdata/sf0.001")
+    assert {r.series for r in got.select("series").distinct().collect()} == {"faithfulness", "single_focus", "informativeness", "cleanliness", "headline_lead_overlap"}
+
+
 def test_median_and_distribution(spark):
     df = spark.createDataFrame([("a", v) for v in (1, 2, 4, 5)] + [("b", 3), ("b", None)], "g string, score int")
     assert {r.g: (r.n, r.median) for r in S.medians(df, ["g"]).collect()} == {"a": (4, 3.0), "b": (1, 3.0)}
