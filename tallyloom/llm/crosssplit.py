@@ -204,3 +204,20 @@ def split_report(curated: DataFrame, predictions: DataFrame, p: CosineJoin = ART
         F.count_if(F.col("similarity") >= 1.0).alias("n_exact"),
         F.count_if(F.col("similarity") < 1.0).alias("n_near"),
     )
+
+
+def split_rates(curated: DataFrame, predictions: DataFrame, p: CosineJoin = ARTICLES) -> DataFrame:
+    """(split, source, n_keys, n_overlapping, rate) of all splits and the rows' own sources, also those without any overlap.
+
+    In the training split a key overlaps if it has a partner in any other. A prediction has the (least) source of the rows of
+    the test split with the same text.
+    """
+    members, pairs = cross_split(sides_of(curated, predictions), p)
+    found = keep(overlaps(members, pairs).select("split", "eval_key", "train_id"), "crosssplit-found")
+    hit = found.select("split", F.col("eval_key").alias("key")).union(found.select(F.lit("train").alias("split"), "train_id")).distinct().withColumn("hit", F.lit(True))
+    own = curated.where("split IN ('train', 'val', 'test') AND hesum_id IS NOT NULL")
+    articles = own.where("split = 'test'").groupBy(F.md5("text").alias("m")).agg(F.min("source").alias("source"))
+    asked = predictions.where("pos IS NOT NULL").select(F.lit("predictions").alias("split"), F.col("pos").cast("string").alias("key"), F.md5("text").alias("m")).distinct()
+    keys = own.select("split", F.col("hesum_id").alias("key"), "source").distinct().unionByName(asked.join(articles, "m", "left").select("split", "key", "source"))
+    n, k = F.countDistinct("key"), F.countDistinct(F.when(F.col("hit"), F.col("key")))
+    return keys.join(hit, ["split", "key"], "left").groupBy("split", "source").agg(n.alias("n_keys"), k.alias("n_overlapping"), F.round(k / n, 4).alias("rate"))

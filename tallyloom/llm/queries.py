@@ -47,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_sample": lambda s, d: quota.draw(*_quota(s, d)),
         "p5_found": lambda s, d: _overlaps(s, d).select("split", "eval_key", "train_id"),
         "p5_report": lambda s, d: crosssplit.split_report(t(s, d, "curated_records"), t(s, d, "predictions_curated")),
+        "p5_rates": lambda s, d: crosssplit.split_rates(t(s, d, "curated_records"), t(s, d, "predictions_curated")),
         "p6_found": lambda s, d: consensus.consensus(t(s, d, "annotations")).select("hesum_id", "task", "label"),
         "p6_items": lambda s, d: consensus.consensus(t(s, d, "annotations")),
         "p6_annotators": lambda s, d: consensus.reliability(t(s, d, "annotations")),
@@ -128,6 +129,13 @@ WHERE x.key IS NOT NULL AND y.key IS NOT NULL""",
         "p5_report": _NEAR + """, found AS (SELECT x.split, x.key AS eval_key, y.key AS train_id, max(similarity) AS similarity FROM near JOIN r x ON x.text = et AND x.split <> 'train' JOIN r y ON y.text = tt AND y.split = 'train'
 WHERE x.key IS NOT NULL AND y.key IS NOT NULL GROUP BY ALL), src AS (SELECT DISTINCT hesum_id, source FROM curated_records WHERE split = 'train')
 SELECT split, source, count(DISTINCT eval_key) AS n_eval, count(DISTINCT train_id) AS n_train, count(*) FILTER (similarity >= 1) AS n_exact, count(*) FILTER (similarity < 1) AS n_near FROM found JOIN src ON hesum_id = train_id GROUP BY ALL""",
+        "p5_rates": _NEAR + """, found AS (SELECT DISTINCT x.split, x.key AS eval_key, y.key AS train_id FROM near JOIN r x ON x.text = et AND x.split <> 'train' JOIN r y ON y.text = tt AND y.split = 'train'
+WHERE x.key IS NOT NULL AND y.key IS NOT NULL), hit AS (SELECT split, eval_key AS key FROM found UNION SELECT 'train', train_id FROM found),
+own AS (SELECT DISTINCT split, hesum_id AS key, source, text FROM curated_records WHERE split IN ('train', 'val', 'test') AND hesum_id IS NOT NULL),
+k AS (SELECT DISTINCT split, key, source FROM own UNION ALL
+  SELECT 'predictions', CAST(pos AS VARCHAR), min(o.source) FROM predictions_curated p LEFT JOIN own o ON o.split = 'test' AND o.text = p.text WHERE pos IS NOT NULL GROUP BY pos)
+SELECT k.split, source, count(DISTINCT k.key) AS n_keys, count(DISTINCT hit.key) AS n_overlapping, round(count(DISTINCT hit.key) / count(DISTINCT k.key), 4) AS rate
+FROM k LEFT JOIN hit ON hit.split = k.split AND hit.key = k.key GROUP BY k.split, source""",
         "p8_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items WHERE text IS NOT NULL),

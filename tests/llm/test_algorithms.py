@@ -99,6 +99,18 @@ def test_cross_split(spark):
     assert CS.overlaps(members, pairs).count() == 0
 
 
+def test_split_rates(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [("train", "1", a, "x"), ("train", "2", b, "x"), ("train", "3", c, "y"), ("val", "4", a + " more", "y"), ("val", "5", d, "y"), ("val", "5", d, "y"), ("test", "6", d, "z"), ("test", "7", b, "x"), ("test", None, b, "x")]
+    cur = spark.createDataFrame(rows, "split string, hesum_id string, text string, source string")
+    pred = spark.createDataFrame([(1, d), (2, b), (3, None)], "pos bigint, text string")
+    got = {(r.split, r.source): (r.n_keys, r.n_overlapping, r.rate) for r in CS.split_rates(cur, pred).collect()}
+    assert got == {
+        ("train", "x"): (2, 2, 1.0), ("train", "y"): (1, 0, 0.0), ("val", "y"): (2, 1, 0.5), ("test", "z"): (1, 0, 0.0), ("test", "x"): (1, 1, 1.0),
+        ("predictions", "z"): (1, 0, 0.0), ("predictions", "x"): (1, 1, 1.0), ("predictions", None): (1, 0, 0.0),
+    }
+
+
 def quota_tables(spark, rows, targets):
     return (
         spark.createDataFrame(rows, "hesum_id string, source_label string, headline_action string, multi_pipe boolean, target_pct int, w int"),
