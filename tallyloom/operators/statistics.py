@@ -226,3 +226,17 @@ def bin_medians(df: DataFrame, x: str, y: str, key: str, by: list[str], bins: in
     ship(df.sparkSession)
     kinds = "".join(f"{c} string, " for c in by)
     return counts.groupBy(*by, "bin").applyInPandas(run, f"{kinds}bin int, n bigint, x_median double, y_median double, low double, high double")
+
+
+def median_intervals(counts: DataFrame, by: list[str], score: str = "score", draws: int = 500, seed: int = 0) -> DataFrame:
+    """(by, n, median, low, high): the median and its bootstrap interval, from a count table (by, score, n); null scores don't count."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf.groupby(score)["n"].sum().sort_index()
+        levels, n = c.index.to_numpy(dtype=float), c.to_numpy()
+        row = (*pdf[by].iloc[0], int(n.sum()), median_of(levels, n), *bootstrap_median_counts(levels, n, draws, seed))
+        return pd.DataFrame([row], columns=[*by, "n", "median", "low", "high"])
+
+    ship(counts.sparkSession)
+    kinds = "".join(f"{c} string, " for c in by)
+    return counts.where(F.col(score).isNotNull()).groupBy(*by).applyInPandas(run, f"{kinds}n bigint, median double, low double, high double")

@@ -149,6 +149,13 @@ def rubric_paired(s: SparkSession, d: str) -> DataFrame:
     return means.join(delta.select("dimension", F.round("delta", 4).alias("cliffs_delta_unpaired")), "dimension")
 
 
+def rubric_paired_intervals(s: SparkSession, d: str) -> DataFrame:
+    """rubric_paired with the interval of every dimension's delta."""
+    ci = S.delta_intervals(S.level_counts(arm_scores(s, d), ["arm", "dimension"]), "arm", "raw", ["dimension"])
+    excludes = (F.col("high") < 0) | (F.col("low") > 0)
+    return rubric_paired(s, d).join(ci.select("dimension", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), excludes.alias("ci_excludes_0")), "dimension")
+
+
 def rater_kappa(s: SparkSession, d: str) -> DataFrame:
     pairs = A.rater_pairs(A.long_scores(log(s, d)))
     return S.kappa(pairs, ["rater_a", "rater_b", "dimension"]).where("n >= 2")
@@ -305,6 +312,8 @@ def queries() -> dict[str, Query]:
         "e1_intervals": e1_intervals,
         "arm_means": lambda s, d: arm_scores(s, d).groupBy("dimension", "arm").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score")),
         "rubric_paired": rubric_paired,
+        "rubric_paired_intervals": rubric_paired_intervals,
+        "median_intervals": lambda s, d: S.median_intervals(S.level_counts(stratum_scores(s, d), ["stratum", "dimension"]), ["stratum", "dimension"]),
         "degenerate_dimension": lambda s, d: S.degenerate(stratum_scores(s, d), ["stratum", "dimension"]),
         "transition_matrix": lambda s, d: S.transition_matrix(arms(s, d), "raw", "curated"),
         "kappa": rater_kappa,

@@ -153,6 +153,21 @@ def test_lead_bias_covers_all_series(spark):
     assert {r.series for r in got.select("series").distinct().collect()} == {"faithfulness", "single_focus", "informativeness", "cleanliness", "headline_lead_overlap"}
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the test tables")
+def test_interval_queries(spark):
+    from tallyloom.plans import queries
+
+    q, d = queries.queries(), "/root/testdata/sf0.001"
+    medians = {(r.stratum, r.dimension): (r.n, r.median) for r in q["median_by_stratum"](spark, d).collect()}
+    got = q["median_intervals"](spark, d).collect()
+    assert {(r.stratum, r.dimension): (r.n, r.median) for r in got} == medians and len(got) == len(medians)
+    assert all(r.low <= r.median <= r.high for r in got)
+    rows = q["rubric_paired_intervals"](spark, d).collect()
+    assert len(rows) == 4
+    for r in rows:
+        assert r.low <= r.cliffs_delta_unpaired <= r.high and r.ci_excludes_0 == (r.low > 0 or r.high < 0)
+
+
 def test_median_and_distribution(spark):
     df = spark.createDataFrame([("a", v) for v in (1, 2, 4, 5)] + [("b", 3), ("b", None)], "g string, score int")
     assert {r.g: (r.n, r.median) for r in S.medians(df, ["g"]).collect()} == {"a": (4, 3.0), "b": (1, 3.0)}
