@@ -241,6 +241,12 @@ def hard_windows(p: dict, background: list[list[str]], net: Network) -> list[lis
     return [background[i] for i in np.flatnonzero(1 - scorer._windows(ids)[:, 0] > 0.15)]
 
 
+def piece(seq: list[str], most: int, rng: np.random.Generator) -> list[str]:
+    """A text of up to ``most`` words as it is, of a longer one any run of ``most`` words."""
+    at = int(rng.integers(len(seq) - most + 1)) if len(seq) > most else 0
+    return seq[at : at + most]
+
+
 def train(sentences: list[tuple[str, str]], background: list[str], net: Network) -> dict[str, np.ndarray]:
     """Fit on (sentence, label) and on background sentences, which are clean."""
     rng = np.random.default_rng(net.seed)
@@ -276,8 +282,8 @@ def train(sentences: list[tuple[str, str]], background: list[str], net: Network)
             while len(seq) < net.window and rng.random() < 0.75:
                 seq = seq + clean_part(net.window - len(seq))
         else:
-            core = by[label][rng.integers(len(by[label]))]
-            core = [disguise(w) if any(flags(w)) and rng.random() < 0.35 else w for w in core][: net.window]
+            core = piece(by[label][rng.integers(len(by[label]))], net.window, rng)
+            core = [disguise(w) if any(flags(w)) and rng.random() < 0.35 else w for w in core]
             room = net.window - len(core)
             a = clean_part(int(rng.integers(room + 1))) if room and rng.random() < 0.8 else []
             b = clean_part(room - len(a)) if room > len(a) and rng.random() < 0.8 else []

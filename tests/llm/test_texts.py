@@ -240,3 +240,10 @@ def test_moderation_table(spark):
     rates = {r.source: (r.n_docs, r.n_flagged) for r in MO.source_rates(docs, samples, net=tiny).collect()}
     assert rates == {"s": (3, 2), None: (1, 0)}
     assert MO.scores(docs.limit(0), samples, tiny).count() == 0
+
+
+def test_piece_of_a_long_text():
+    rng, seq = np.random.default_rng(0), [str(i) for i in range(60)]
+    got = [MO.piece(seq, 24, rng) for _ in range(500)]
+    assert all(len(g) == 24 for g in got) and {w for g in got for w in g} == set(seq)
+    assert MO.piece(seq[:24], 24, rng) == seq[:24]
