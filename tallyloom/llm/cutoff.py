@@ -1,16 +1,25 @@
 """Problem 2: values cut off by a field limit or mid-transfer, in pure SQL.
 
-Words and runs of two and three words are counted inside values and at their ends, over all values of all fields. The final
-runs of a value are joined to these counts: a value whose last words are common inside values and almost never end one
-stops inside a sentence; one whose last word is the beginning of far more frequent words stops inside a word. Lengths that
-pile up at the end of an outlet's length distribution, in characters or in bytes, are that outlet's limit if many values
-there show a cut by their words. A cut at a number of bytes may fall inside a letter, whose rest is then dropped, so a value
-that is short of a limit in bytes by less than a letter counts as one of that length. A broken character, an open quotation
-mark or a trailing separator at the end also show a cut. A trailing ellipsis alone does not: a teaser ends in one, so it is
-taken off before the end is judged.
-
-Scale: everything is grouped by short runs with partial aggregation; a hot run (a third of all values may end alike) is one
-counter. Counts of one outlet's lengths are bounded by its longest value.
+Word trigrams are counted inside values and at their ends, over all values of all fields; the end of a part before a
+separator bar counts as an end. The final trigram of each value is joined to these counts, in two ways:
+
+- *inside a sentence*: the trigram is frequent inside values and almost never terminal;
+- *inside a word*: the trigram's last word is the beginning of longer words that follow the same two words, and almost
+  never a word of its own there.
+
+"Almost never" is a bound on a rate: the upper end of Wilson's interval of the terminal share. Where other values often end
+with the trigram, the value is whole; where the trigram alone can't tell, the final bigram and then the final word are
+judged in the same way (back-off). ``words`` says how many words decided.
+
+Lengths that pile up at the end of an outlet's length distribution, in characters or in bytes, are that outlet's limit only
+if the trigrams show a cut in many values of just that length; the other values there are then cases too, unless their end
+is a usual one. A cut at a number of bytes may fall inside a letter, whose rest is then dropped, so a value that is short of
+a limit in bytes by less than a letter counts as one of that length. A broken character, an open quotation mark or a
+trailing separator also show a cut. A trailing ellipsis alone does not: a teaser ends in one, so it is taken off first.
+
+Scale: grams are grouped as a hash of their context and the word, with partial aggregation; a hot gram (a third of all
+values may end alike) is one counter. Beginnings of words are made from the grouped rows, and only for contexts that end a
+value. Counts of one outlet's lengths are bounded by its longest value.
 
 Defined results: null and blank values are not cases; repeated rows count once; a value of an unknown outlet has no limit;
 values of one word are judged by that word; other columns are not read.
@@ -41,7 +50,7 @@ ends AS (
          regexp_replace(v, '(?<=\\p{{L}})["״](?=\\p{{L}})', '') AS unquoted
   FROM kept
 )
-SELECT field, id, source, v, core, broken,
+SELECT monotonically_increasing_id() AS uid, field, id, source, v, broken,
        core RLIKE '[|:;,(\\[]\\s*$' AS hanging,
        core RLIKE '[.!?"”״׳)]\\s*$' AS closed,
        (char_length(unquoted) - char_length(regexp_replace(unquoted, '["“”״]', ''))) % 2 = 1 AS open_quote,
@@ -71,81 +80,107 @@ WHERE c >= greatest(5, 0.1 * total) AND c >= {pile} * (around - c / 10D) AND coa
 """
 
 #: A letter of 2, 3 or 4 bytes that was cut leaves up to 1, 2 or 3 bytes free; values without such letters must fill the limit.
-CASES_SQL = """
+MARKED_SQL = r"""
 WITH reach AS (
   SELECT field, source, n - free AS at, min(n) AS n FROM {limits} LATERAL VIEW explode(array(0, 1, 2, 3)) frees AS free
   WHERE unit = 'bytes' GROUP BY field, source, n - free
-),
-marked AS (
-  SELECT v.*, lc.n IS NOT NULL OR lb.n IS NOT NULL AS at_limit,
-         CASE WHEN lc.n IS NOT NULL THEN concat('chars ', lc.n) WHEN lb.n IS NOT NULL THEN concat('bytes ', lb.n) END AS pile,
-         lc.n IS NOT NULL OR coalesce(lb.n = v.n_bytes, false) AS exact
-  FROM {values} v
-  LEFT JOIN {limits} lc ON lc.unit = 'chars' AND lc.field = v.field AND lc.source = v.source AND lc.n = v.n_chars
-  LEFT JOIN reach lb ON lb.field = v.field AND lb.source = v.source AND lb.at = v.n_bytes AND CASE lb.n - lb.at
-    WHEN 0 THEN true
-    WHEN 1 THEN v.v RLIKE '[\\\\x{{80}}-\\\\x{{10FFFF}}&&\\\\p{{L}}]'
-    WHEN 2 THEN v.v RLIKE '[\\\\x{{800}}-\\\\x{{10FFFF}}&&\\\\p{{L}}]'
-    ELSE v.v RLIKE '[\\\\x{{10000}}-\\\\x{{10FFFF}}&&\\\\p{{L}}]' END
-),
-sized AS (SELECT ws, k, NOT (broken OR at_limit OR hanging) AS sound FROM marked LATERAL VIEW explode(array(1, 2, 3)) ks AS k WHERE size(ws) >= k),
-grams AS (
-  SELECT k, array_join(slice(ws, i, k), ' ') AS gram, int(i + k <= size(ws)) AS inside, int(i + k > size(ws) AND sound) AS final
-  FROM sized LATERAL VIEW explode(sequence(1, size(ws) - k + 1)) places AS i
-),
-counts AS (SELECT k, gram, sum(inside) AS inside, sum(final) AS final FROM grams GROUP BY k, gram),
-prefixes AS (
-  SELECT prefix, sum(inside + final) AS longer FROM (
-    SELECT explode(transform(sequence(1, char_length(gram) - 1), i -> substring(gram, 1, i))) AS prefix, inside, final
-    FROM counts WHERE k = 1 AND char_length(gram) > 1) GROUP BY prefix
-),
-finals AS (
-  SELECT field, id, v, k, array_join(slice(ws, size(ws) - k + 1, k), ' ') AS gram,
-         int(NOT (broken OR at_limit OR hanging)) AS own
-  FROM marked LATERAL VIEW explode(array(1, 2, 3)) ks AS k WHERE size(ws) >= k
-),
-seen AS (
-  SELECT f.field, f.id, f.v,
-         coalesce(max(c.inside) FILTER (WHERE f.k = 1), 0) AS in1, coalesce(max(c.final - f.own) FILTER (WHERE f.k = 1), 0) AS end1,
-         coalesce(max(c.inside) FILTER (WHERE f.k = 2), 0) AS in2, coalesce(max(c.final - f.own) FILTER (WHERE f.k = 2), 0) AS end2,
-         coalesce(max(c.inside) FILTER (WHERE f.k = 3), 0) AS in3, coalesce(max(c.final - f.own) FILTER (WHERE f.k = 3), 0) AS end3,
-         coalesce(max(p.longer), 0) AS longer
-  FROM finals f JOIN counts c ON c.k = f.k AND c.gram = f.gram
-  LEFT JOIN prefixes p ON f.k = 1 AND p.prefix = f.gram
-  GROUP BY f.field, f.id, f.v
-),
-judged AS (
-  SELECT m.field, m.id, m.source, m.v, m.pile, m.exact,
-    CASE WHEN m.broken THEN 'broken character'
-         WHEN m.hanging THEN 'trailing separator'
-         WHEN m.open_quote THEN 'open quotation'
-         WHEN m.closed THEN NULL
-         WHEN s.longer >= {word} * (s.in1 + s.end1) + 3 THEN 'inside a word'
-         WHEN s.end1 + 0.5 <= {rare} * (s.in1 + 1) THEN 'inside a sentence'
-         WHEN s.end1 <= 0.1 * s.in1 AND s.end2 + 0.5 <= {rare} / 2 * (s.in2 + 1) THEN 'inside a sentence'
-         WHEN s.end1 <= 0.1 * s.in1 AND s.end3 + 0.5 <= {rare} / 2 * (s.in3 + 1) THEN 'inside a sentence'
-    END AS reason, NOT m.v RLIKE '\\s$' AND (m.closed OR (s.end1 >= 5 AND s.end1 >= 2 * s.in1 AND s.end2 > 0)) AS usual, s.in1, s.end1, s.in2, s.end2, s.in3, s.end3, s.longer
-  FROM marked m JOIN seen s ON m.field = s.field AND m.id = s.id AND m.v = s.v
 )
-SELECT * FROM judged
+SELECT v.uid, v.field, v.id, v.source, v.broken, v.hanging, v.closed, v.open_quote, v.ws, v.v RLIKE '\\s$' AS blank_end,
+       CASE WHEN lc.n IS NOT NULL THEN concat('chars ', lc.n) WHEN lb.n IS NOT NULL THEN concat('bytes ', lb.n) END AS pile,
+       lc.n IS NOT NULL OR coalesce(lb.n = v.n_bytes, false) AS exact,
+       NOT (v.broken OR v.hanging OR v.open_quote OR lc.n IS NOT NULL OR lb.n IS NOT NULL) AS sound
+FROM {values} v
+LEFT JOIN {limits} lc ON lc.unit = 'chars' AND lc.field = v.field AND lc.source = v.source AND lc.n = v.n_chars
+LEFT JOIN reach lb ON lb.field = v.field AND lb.source = v.source AND lb.at = v.n_bytes AND CASE lb.n - lb.at
+  WHEN 0 THEN true
+  WHEN 1 THEN v.v RLIKE '[\\x{{80}}-\\x{{10FFFF}}&&\\p{{L}}]'
+  WHEN 2 THEN v.v RLIKE '[\\x{{800}}-\\x{{10FFFF}}&&\\p{{L}}]'
+  ELSE v.v RLIKE '[\\x{{10000}}-\\x{{10FFFF}}&&\\p{{L}}]' END
+"""
+
+#: Grams of one to three words: ``c`` stands for the words before the last one, and the first letter of that, ``w``.
+COUNTS_SQL = """
+SELECT c, w, sum(inside) AS inside, sum(final) AS final FROM (
+  SELECT xxhash64(k, array_join(slice(ws, i, k - 1), ' '), left(ws[i + k - 2], 1)) AS c, ws[i + k - 2] AS w,
+         int(i + k <= size(ws) AND NOT coalesce(get(ws, i + k - 1) = '|', false)) AS inside,
+         int(coalesce(get(ws, i + k - 1) = '|', sound)) AS final
+  FROM {marked} LATERAL VIEW explode(array(1, 2, 3)) ks AS k
+  LATERAL VIEW explode(if(size(ws) >= k, sequence(1, size(ws) - k + 1), array())) places AS i
+) GROUP BY c, w
+"""
+
+FINALS_SQL = """
+SELECT uid, k, xxhash64(k, array_join(slice(ws, size(ws) - k + 1, k - 1), ' '), left(ws[size(ws) - 1], 1)) AS c, ws[size(ws) - 1] AS w, int(sound) AS own
+FROM {marked} LATERAL VIEW explode(array(1, 2, 3)) ks AS k WHERE size(ws) >= k
+"""
+
+#: The final grams of each value with their counts: inside, at other values' ends, and as beginnings of longer words.
+SEEN_SQL = """
+WITH needed AS (SELECT DISTINCT c FROM {finals}),
+near AS (SELECT n.* FROM {counts} n LEFT SEMI JOIN needed ON n.c = needed.c),
+stats AS (
+  SELECT c, w, sum(inside) AS inside, sum(final) AS final, sum(longer) AS longer FROM (
+    SELECT c, w, inside, final, 0 AS longer FROM near
+    UNION ALL
+    SELECT c, explode(transform(sequence(1, char_length(w) - 1), i -> left(w, i))) AS w, 0, 0, inside + final FROM near WHERE char_length(w) > 1
+  ) GROUP BY c, w
+)
+SELECT f.uid, {columns} FROM {finals} f JOIN stats s ON s.c = f.c AND s.w = f.w GROUP BY f.uid
+"""
+
+
+def _upper(e: str, n: str) -> str:
+    """The upper end of Wilson's interval (two deviations) of a share of ``e`` in ``n``; 1 where n is 0."""
+    return f"(CASE WHEN {n} <= 0 THEN 1D ELSE ({e} + 2D + 2D * sqrt({e} * CAST({n} - {e} AS DOUBLE) / {n} + 1D)) / ({n} + 4D) END)"
+
+
+def gram_reason(word: tuple[float, ...], sentence: tuple[float, ...], usual: float) -> str:
+    """(reason, words) of a value by its final grams, the longest first: SQL over i, e, l of 1 to 3 words."""
+    cases = []
+    for k in (3, 2, 1):
+        i, e, both, whole = f"i{k}", f"e{k}", f"(i{k} + e{k})", f"(i{k} + e{k} + l{k})"
+        cases.append(f"WHEN {_upper(both, whole)} <= {word[k - 1]}D THEN struct('inside a word' AS reason, {k} AS words)")
+        cases.append(f"WHEN {_upper(e, both)} <= {sentence[k - 1]}D THEN struct('inside a sentence' AS reason, {k} AS words)")
+        cases.append(f"WHEN e{k} >= 3 AND e{k} >= {usual}D * {whole} THEN NULL")
+    return "CASE " + " ".join(cases) + " END"
+
+
+JUDGED_SQL = """
+WITH by_grams AS (
+  SELECT m.uid, m.field, m.id, m.source, m.pile, m.exact, m.broken, m.hanging, m.closed, m.open_quote, {grams} AS g,
+         NOT m.blank_end AND (m.closed OR (e1 >= 5 AND e1 >= 2 * i1 AND e2 > 0)) AS usual
+  FROM {marked} m JOIN {seen} s ON m.uid = s.uid
+)
+SELECT uid, field, id, source, pile, exact, usual,
+  CASE WHEN NOT closed AND g IS NOT NULL THEN g.reason WHEN broken THEN 'broken character' WHEN hanging THEN 'trailing separator' WHEN open_quote THEN 'open quotation' END AS reason,
+  CASE WHEN NOT closed AND g IS NOT NULL THEN g.words END AS words
+FROM by_grams
 """
 
-#: A pile of lengths is a limit if values of just that length, other than by it, often enough show a cut. A value there whose
-#: end is a usual one came whole.
+#: A pile of lengths is a limit if values of just that length often enough show a cut by their words. A value there whose end
+#: is a usual one came whole.
 LIMITED_SQL = """
 WITH limits AS (SELECT field, source, pile FROM {judged} WHERE pile IS NOT NULL GROUP BY field, source, pile HAVING avg(int(reason IS NOT NULL)) FILTER (WHERE exact) >= {shown})
-SELECT j.field, j.id, j.source, j.v, CASE WHEN l.pile IS NOT NULL AND NOT usual THEN 'field limit' ELSE j.reason END AS reason, in1, end1, in2, end2, in3, end3, longer
+SELECT j.uid, j.field, j.id, j.source, CASE WHEN j.reason IS NULL AND l.pile IS NOT NULL AND NOT usual THEN 'field limit' ELSE j.reason END AS reason, words
 FROM {judged} j LEFT JOIN limits l ON l.field = j.field AND l.source = j.source AND l.pile = j.pile
 """
 
+#: Bounds of the share of ends at which a final gram of one, two or three words shows a cut.
+WORD, SENTENCE, USUAL = (0.25, 0.25, 0.25), (0.03, 0.08, 0.1), 0.1
 
-def judged(records: DataFrame, replacements: DataFrame, pile: int = 4, word: int = 10, rare: float = 0.025, shown: float = 0.3) -> DataFrame:
-    """Every value with the counts of its end and the reason for which it is a case, or null."""
+
+def judged(records: DataFrame, replacements: DataFrame, pile: int = 4, word: tuple[float, ...] = WORD, sentence: tuple[float, ...] = SENTENCE, usual: float = USUAL, shown: float = 0.3) -> DataFrame:
+    """Every value with the reason for which it is a case, or null, and how many final words showed it."""
     spark = records.sparkSession
     values = spark.sql(VALUES_SQL, records=records.select("id", "source", "headline"), replacements=replacements.select("id", "replacement_headline"))
     values = keep(values, "cutoff-values")
-    limits = spark.sql(LIMITS_SQL, values=values, pile=pile)
-    found = keep(spark.sql(CASES_SQL, values=values, limits=limits, word=word, rare=rare), "cutoff-judged")
+    limits = keep(spark.sql(LIMITS_SQL, values=values, pile=pile), "cutoff-limits")
+    marked = spark.sql(MARKED_SQL, values=values, limits=limits)
+    finals = spark.sql(FINALS_SQL, marked=marked)
+    columns = ", ".join(f"coalesce(max({v}) FILTER (WHERE k = {k}), 0) AS {n}{k}" for n, v in (("i", "inside"), ("e", "final - own"), ("l", "longer")) for k in (1, 2, 3))
+    seen = spark.sql(SEEN_SQL.replace("{columns}", columns), finals=finals, counts=spark.sql(COUNTS_SQL, marked=marked))
+    grams = gram_reason(word, sentence, usual)
+    found = keep(spark.sql(JUDGED_SQL.replace("{grams}", grams), marked=marked, seen=seen), "cutoff-judged")
     return spark.sql(LIMITED_SQL, judged=found, shown=shown)
 
 
@@ -154,6 +189,12 @@ def cut_off(records: DataFrame, replacements: DataFrame) -> DataFrame:
     return judged(records, replacements).where("reason IS NOT NULL").select("field", "id").distinct()
 
 
+def cut_reasons(records: DataFrame, replacements: DataFrame) -> DataFrame:
+    """(field, reason, words, n): the cases by reason and by how many final words decided; 0 where no gram did."""
+    rows = judged(records, replacements).where("reason IS NOT NULL")
+    return rows.groupBy("field", "reason", F.coalesce("words", F.lit(0)).alias("words")).agg(F.count("*").alias("n"))
+
+
 def cut_rates(records: DataFrame, replacements: DataFrame) -> DataFrame:
     """Per source and field: values, values that lost their end, and their share."""
     rows = judged(records, replacements)

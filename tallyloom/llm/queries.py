@@ -40,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_groups": lambda s, d: neardup.near_duplicate_groups(t(s, d, "records"), p=neardup.ARTICLES),
         "p2_found": lambda s, d: cutoff.cut_off(*_headlines(s, d)),
         "p2_rates": lambda s, d: cutoff.cut_rates(*_headlines(s, d)),
+        "p2_reasons": lambda s, d: cutoff.cut_reasons(*_headlines(s, d)),
         "p3_found": lambda s, d: answers.defects(t(s, d, "predictions_curated")),
         "p3_rates": lambda s, d: answers.defect_rates(t(s, d, "predictions_curated")),
         "p4_found": lambda s, d: quota.report(*_quota(s, d)).where("drawn < need AND NOT can_be_met").select("target_id"),
@@ -111,6 +112,62 @@ near AS (
 """
 
 
+def _upper(e: str, n: str) -> str:
+    """Wilson's upper bound, two deviations."""
+    return f"(CASE WHEN {n} <= 0 THEN 1 ELSE ({e} + 2 + 2 * sqrt({e} * ({n} - {e}) / {n} + 1)) / ({n} + 4) END)"
+
+
+def _cut_sql() -> str:
+    """Problem 2 in DuckDB's SQL, up to a table ``cut`` (uid, field, id, source, reason, words)."""
+    blank = r"[ \t\n\r\f\x0b]"
+    cases = []
+    for k, word, sentence in ((3, 0.25, 0.1), (2, 0.25, 0.08), (1, 0.25, 0.03)):
+        part, whole = f"(i{k} + e{k})", f"(i{k} + e{k} + l{k})"
+        cases.append(f"WHEN {_upper(part, whole)} <= {word} THEN 'inside a word {k}' WHEN {_upper(f'e{k}', part)} <= {sentence} THEN 'inside a sentence {k}' WHEN e{k} >= 3 AND e{k} >= 0.1 * {whole} THEN NULL")
+    columns = ", ".join(f"coalesce(max({v}) FILTER (k = {k}), 0) AS {n}{k}" for n, v in (("i", "inside"), ("e", "final - own"), ("l", "longer")) for k in (1, 2, 3))
+    return rf"""
+WITH outlet AS (SELECT id, min(source) AS source FROM records WHERE id IS NOT NULL GROUP BY id),
+raw AS (
+  SELECT 'headline' AS field, id, source, headline AS v FROM records
+  UNION ALL SELECT 'replacement_headline', r.id, o.source, r.replacement_headline FROM headline_target_curation_results r LEFT JOIN outlet o ON r.id = o.id),
+kept AS (SELECT row_number() OVER () AS uid, field, id, min(source) AS source, v FROM raw WHERE id IS NOT NULL AND v IS NOT NULL AND regexp_matches(v, '[\p{{L}}\p{{N}}]') GROUP BY field, id, v),
+ends AS (
+  SELECT *, regexp_replace(v, '(?:[ \t\n\r\f\x0b…]|\.{{2,}}|\x{{FFFD}})+$', '') AS core, regexp_matches(v, '\x{{FFFD}}[ \t\n\r\f\x0b….]*$') AS broken,
+         regexp_replace(regexp_replace(v, '(\p{{L}})["״](\p{{L}})', '\1\2', 'g'), '(\p{{L}})["״](\p{{L}})', '\1\2', 'g') AS unquoted FROM kept),
+vals AS (
+  SELECT uid, field, id, source, v, broken, regexp_matches(core, '[|:;,(\[]{blank}*$') AS hanging, regexp_matches(core, '[.!?"”״׳)]{blank}*$') AS closed,
+         (length(unquoted) - length(regexp_replace(unquoted, '["“”״]', '', 'g'))) % 2 = 1 AS open_quote, length(v) AS n_chars, strlen(v) AS n_bytes, regexp_matches(v, '{blank}$') AS blank_end,
+         list_filter(list_transform(regexp_split_to_array(core, '{blank}+'), lambda w: regexp_replace(regexp_replace(w, '^[^\p{{L}}\p{{N}}|]+|[^\p{{L}}\p{{N}}|]+$', '', 'g'), '\p{{N}}+', '0', 'g')), lambda w: w <> '') AS ws FROM ends),
+lengths AS (
+  SELECT field, source, unit, n, count(*) AS c FROM (SELECT field, source, 'chars' AS unit, n_chars AS n, broken FROM vals UNION ALL SELECT field, source, 'bytes', n_bytes, broken FROM vals)
+  WHERE source IS NOT NULL AND NOT broken GROUP BY ALL),
+near AS (
+  SELECT *, sum(c) OVER (PARTITION BY field, source, unit ORDER BY n RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 10.0 AS around, sum(c) OVER (PARTITION BY field, source, unit) AS total,
+         sum(c) OVER (PARTITION BY field, source, unit ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS beyond FROM lengths),
+piles AS (SELECT field, source, unit, n FROM near WHERE c >= greatest(5, 0.1 * total) AND c >= 4 * (around - c / 10.0) AND coalesce(beyond, 0) <= 0.2 * total),
+reach AS (SELECT field, source, n - free AS at, min(n) AS n FROM piles, (SELECT unnest([0, 1, 2, 3]) AS free) WHERE unit = 'bytes' GROUP BY ALL),
+marked AS (
+  SELECT v.*, CASE WHEN lc.n IS NOT NULL THEN 'chars ' || lc.n WHEN lb.n IS NOT NULL THEN 'bytes ' || lb.n END AS pile, lc.n IS NOT NULL OR coalesce(lb.n = v.n_bytes, false) AS exact,
+         NOT (broken OR hanging OR open_quote OR lc.n IS NOT NULL OR lb.n IS NOT NULL) AS sound
+  FROM vals v LEFT JOIN piles lc ON lc.unit = 'chars' AND lc.field = v.field AND lc.source = v.source AND lc.n = v.n_chars
+  LEFT JOIN reach lb ON lb.field = v.field AND lb.source = v.source AND lb.at = v.n_bytes
+    AND (lb.n = lb.at OR len(list_filter(regexp_extract_all(v.v, '\p{{L}}'), lambda c: strlen(c) > lb.n - lb.at)) > 0)),
+places AS (SELECT ws, k, unnest(range(1, len(ws) - k + 2)) AS i, sound FROM marked, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k),
+counts AS (
+  SELECT k, array_to_string(ws[i:i + k - 2], ' ') AS c, ws[i + k - 1] AS w, count(*) FILTER (i + k <= len(ws) AND NOT coalesce(ws[i + k] = '|', false)) AS inside,
+         count(*) FILTER (coalesce(ws[i + k] = '|', sound)) AS final FROM places GROUP BY ALL),
+beginnings AS (SELECT k, c, w, sum(n) AS longer FROM (SELECT k, c, inside + final AS n, unnest(list_transform(range(1, length(w)), lambda j: left(w, j))) AS w FROM counts) GROUP BY ALL),
+finals AS (SELECT uid, k, array_to_string(ws[len(ws) - k + 1:len(ws) - 1], ' ') AS c, ws[len(ws)] AS w, sound::INT AS own FROM marked, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k),
+seen AS (SELECT uid, {columns} FROM finals f JOIN counts USING (k, c, w) LEFT JOIN beginnings USING (k, c, w) GROUP BY uid),
+graded AS (SELECT m.*, CASE WHEN NOT closed THEN CASE {" ".join(cases)} END END AS g, NOT blank_end AND (closed OR (e1 >= 5 AND e1 >= 2 * i1 AND e2 > 0)) AS usual FROM marked m JOIN seen USING (uid)),
+judged AS (SELECT *, CASE WHEN g IS NOT NULL THEN left(g, length(g) - 2) WHEN broken THEN 'broken character' WHEN hanging THEN 'trailing separator' WHEN open_quote THEN 'open quotation' END AS reason0 FROM graded),
+limits AS (SELECT field, source, pile FROM judged WHERE pile IS NOT NULL GROUP BY ALL HAVING avg((reason0 IS NOT NULL)::INT) FILTER (exact) >= 0.3),
+cut AS (
+  SELECT j.uid, j.field, j.id, j.source, CASE WHEN reason0 IS NULL AND l.pile IS NOT NULL AND NOT usual THEN 'field limit' ELSE reason0 END AS reason, CAST(coalesce(right(g, 1), '0') AS INT) AS words
+  FROM judged j LEFT JOIN limits l ON l.field = j.field AND l.source = j.source AND l.pile = j.pile)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_PAIRS} SELECT pos_a, pos_b FROM pairs",
@@ -119,6 +176,9 @@ links AS (SELECT pos_a AS a, pos_b AS b FROM pairs UNION SELECT pos_b, pos_a FRO
 reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 low AS (SELECT a, min(b) AS b FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT pos, least(pos, coalesce(low.b, pos)) AS "group", coalesce(n, 0) AS n_links FROM records LEFT JOIN low ON low.a = pos LEFT JOIN degree ON degree.a = pos""",
+        "p2_found": _cut_sql() + "SELECT DISTINCT field, id FROM cut WHERE reason IS NOT NULL",
+        "p2_rates": _cut_sql() + "SELECT source, field, count(*) AS n_values, count(reason) AS n_cut, round(count(reason) / count(*), 4) AS cut_rate FROM cut GROUP BY source, field",
+        "p2_reasons": _cut_sql() + "SELECT field, reason, words, count(*) AS n FROM cut WHERE reason IS NOT NULL GROUP BY ALL",
         "p4_found": _QUOTA + "SELECT target_id FROM quota WHERE available < need",
         "p4_report": _QUOTA
         + """SELECT q.target_id, pct, need, available, count(d.target_id) AS drawn, count(*) FILTER (d.repaired) AS repaired, available >= need AS can_be_met
