@@ -47,8 +47,8 @@ def tail_members(records: DataFrame, size: int = TAIL_SIZE, support: int = SUPPO
     words = records.select("id", script_words("text").alias("ws")).where(F.size("ws") >= size)
     seeded = words.withColumn("seed", F.array_join(F.slice("ws", -size, size), " "))
     seeds = seeded.groupBy("seed").agg(F.count("*").alias("c")).where(F.col("c") >= support).select("seed")
-    # few texts survive; they are kept, so the words of all texts aren't made again
-    survivors = keep(seeded.join(seeds, "seed", "left_semi").select("id", "ws"), "tails")
+    # few texts survive; they are kept, evenly spread, so the words of all texts aren't made again
+    survivors = keep(seeded.join(seeds, "seed", "left_semi").select("id", "ws").repartition("id"), "tails")
     rows = _suffix_rows(survivors, size)
     supported = rows.groupBy("h", "length").agg(F.count("*").alias("c")).where(F.col("c") >= support).select("h", "length")
     deepest = rows.join(supported, ["h", "length"]).groupBy("id").agg(F.max(F.struct("length", "h")).alias("d")).select("id", "d.length", "d.h")

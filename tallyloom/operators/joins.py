@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import keep
 
-#: Ids up to this number (8 MB) may be broadcast; more go through a shuffle join.
+#: Ids up to this number (8 MB) may be broadcast, whatever the size of the other side; more go through a shuffle join, with
+#: the same result. The session's ``tallyloom.broadcastIds`` sets another bound, 0 none at all.
 BROADCAST_IDS = 1_000_000
 
 
 def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """Semi or anti join with a table of distinct ids, which is counted first: broadcast within a bound, else shuffled."""
     ids = keep(ids, "ids")
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+    most = int(df.sparkSession.conf.get("tallyloom.broadcastIds", str(BROADCAST_IDS)))
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, on, how)
 
 
 def first_per(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -25,8 +27,3 @@ def first_per(df: DataFrame, key: str, order: str) -> DataFrame:
     later = places.join(least, F.col("_k").eqNullSafe(F.col(key))).where(F.col(order) > F.col("_m")).select(order)
     return by_ids(df, later, order, "left_anti").select(*df.columns)
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A scan of fewer partitions than cores, by hash over all cores; a larger one as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -30,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def records(s: SparkSession, d: str) -> DataFrame:
     """The first delivery of each record."""
     read = t(s, d, "records").select("id", "pos", "text", "headline", "source").where("id IS NOT NULL")
-    return N.first_per(N.spread(read, "pos"), "id", "pos")
+    return N.first_per(read, "id", "pos")
 
 
 def rows(s: SparkSession, d: str) -> DataFrame:

@@ -23,11 +23,10 @@ def test_core_queries(spark):
     for f in DATA.glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
     sql, bad = oracle.oracle_sql(), []
-    expected = {"ledger_reconciliation"}
     for name, q in queries.queries().items():
         df = q(spark, str(DATA))
         rows = df.collect()
-        if name not in sql or name in expected:
+        if name not in sql:
             continue
         got = con.execute(sql[name])
         cols = [c[0] for c in got.description]
