@@ -20,22 +20,28 @@ rows with a null source have their own rate; other columns are not read.
 from __future__ import annotations
 
 import html
+import io
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import moderation_words as lists
 from tallyloom.llm.wordform import strip_marks
-from tallyloom.session import ship
+from tallyloom.session import shared_dir, ship
+from tallyloom.sources.files import exists
 
 LABELS = ("clean", "abusive", "hateful", "sexual")
+#: Of the training procedure; part of a kept network's name.
+VERSION = 2
 
 
 @dataclass(frozen=True)
@@ -48,8 +54,8 @@ class Network:
     char_rows: int = 1 << 13
     epochs: int = 14
     size: int = 5200
-    batch: int = 64
-    rate: float = 0.004
+    batch: int = 128
+    rate: float = 0.006
     max_samples: int = 20_000
     background: int = 3_000
     mining: tuple[int, ...] = (5, 8, 11)
@@ -59,6 +65,7 @@ class Network:
 # ---- words ----
 
 _APART = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*·]){2,}[^\W\d_](?![^\W\d_])")
+_STARS = set("*#@$")
 _STAR = re.compile(r"(?<=[^\W\d_])[*#@$]+(?=[^\W\d_])")
 _DOTTED = re.compile(r"(?<=[^\W\d_])[._·](?=[^\W\d_])")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
@@ -77,10 +84,12 @@ def plain_words(text: str | None) -> list[str]:
         text = html.unescape(text)
     text = text.lower()
     text = _APART.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), text)
-    text = _DOTTED.sub("", _STAR.sub("", text))
+    if not _STARS.isdisjoint(text):
+        text = _STAR.sub("", text)
+    text = _DOTTED.sub("", text)
     text = _REPEAT.sub(r"\1", text)
     out = _WORD.findall(text)
-    return [w.translate(_LEET) if _HAS_BOTH.match(w) else w for w in out]
+    return [w if w.isalpha() or not _HAS_BOTH.match(w) else w.translate(_LEET) for w in out]
 
 
 _PARTICLES = "והבלכמש"
@@ -135,45 +144,59 @@ def init(net: Network) -> dict[str, np.ndarray]:
     d, h = 2 * net.width + 3, net.hidden
     p = {"E": n(net.word_rows, net.width, k=0.1), "C": n(net.char_rows, net.width, k=0.1)}
     for side in "fb":
-        p[f"W{side}"], p[f"U{side}"], p[f"B{side}"] = n(d, 3 * h, k=d**-0.5), n(h, 3 * h, k=h**-0.5), np.zeros(3 * h, np.float32)
+        p[f"W{side}"], p[f"B{side}"] = n(d, 3 * h, k=d**-0.5), np.zeros(3 * h, np.float32)
+    p["U"] = n(2, h, 3 * h, k=h**-0.5)
     p["A"], p["a"] = n(2 * h, h, k=(2 * h) ** -0.5), n(h, k=h**-0.5)
     p["O"], p["o"] = n(2 * h, len(LABELS), k=(2 * h) ** -0.5), np.zeros(len(LABELS), np.float32)
     return p
 
 
 def _gru(x: np.ndarray, u: np.ndarray, h: int, keep: bool) -> tuple[np.ndarray, list]:
-    """x: (steps, rows, 3h) input products; states (steps, rows, h). Gates: update, reset, candidate."""
-    state = np.zeros((x.shape[1], h), np.float32)
-    out, tape = np.empty((*x.shape[:2], h), np.float32), []
+    """x: (steps, ..., rows, 3h) input products; states (steps, ..., rows, h). Gates: update, reset, candidate.
+
+    Both directions go together, as the axis before the rows, with their matrices stacked in ``u``.
+    """
+    state = np.zeros((*x.shape[1:-1], h), np.float32)
+    out, tape = np.empty((*x.shape[:-1], h), np.float32), []
     for t in range(len(x)):
         hu = state @ u
-        zr = _sigmoid(x[t, :, : 2 * h] + hu[:, : 2 * h])
-        z, r = zr[:, :h], zr[:, h:]
-        c = np.tanh(x[t, :, 2 * h :] + r * hu[:, 2 * h :])
+        zr = _sigmoid(x[t, ..., : 2 * h] + hu[..., : 2 * h])
+        z, r = zr[..., :h], zr[..., h:]
+        c = np.tanh(x[t, ..., 2 * h :] + r * hu[..., 2 * h :])
         new = state + z * (c - state)
         if keep:
-            tape.append((state, z, r, c, hu[:, 2 * h :]))
+            tape.append((state, z, r, c, hu[..., 2 * h :]))
         state = out[t] = new
     return out, tape
 
 
 def _gru_back(dout: np.ndarray, tape: list, u: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
     """(d input products, d u)."""
-    dx, du = np.empty((*dout.shape[:2], 3 * h), np.float32), np.zeros_like(u)
-    ds = np.zeros(dout.shape[1:], np.float32)
+    dx, du = np.empty((*dout.shape[:-1], 3 * h), np.float32), np.zeros_like(u)
+    ds, back = np.zeros(dout.shape[1:], np.float32), np.ascontiguousarray(np.swapaxes(u, -1, -2))
     for t in range(len(tape) - 1, -1, -1):
         state, z, r, c, hc = tape[t]
         ds = ds + dout[t]
         dc = ds * z * (1 - c * c)
         dz = ds * (c - state) * z * (1 - z)
         dr = dc * hc * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dc], axis=1)
-        dhu = np.concatenate([dz, dr, dc * r], axis=1)
-        du += state.T @ dhu
-        ds = ds * (1 - z) + dhu @ u.T
+        dx[t] = dhu = np.concatenate([dz, dr, dc], axis=-1)
+        dhu[..., 2 * h :] *= r
+        du += np.swapaxes(state, -1, -2) @ dhu
+        ds = ds * (1 - z) + dhu @ back
     return dx, du
 
 
+def _both(forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    """(steps, 2, rows, k) of two directions' (steps, rows, k)."""
+    return np.stack([forward, backward], axis=1)
+
+
+def _joined(hs: np.ndarray) -> np.ndarray:
+    """(steps, rows, 2h) from the states of both directions, in the order of the text."""
+    return np.concatenate([hs[:, 0], hs[::-1, 1]], axis=2)
+
+
 def _pool(hs: np.ndarray, mask: np.ndarray, p: dict) -> tuple[np.ndarray, ...]:
     """Attention over (steps, rows, 2h); mask (steps, rows) is true on words."""
     v = np.tanh(hs @ p["A"])
@@ -189,6 +212,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, the sum of each one's rows)."""
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[at], np.add.reduceat(rows[by], at, axis=0) if len(at) else rows[:0]
+
+
 class Vocabulary:
     """Distinct words of a training set as rows of a sparse averaging matrix."""
 
@@ -247,14 +278,13 @@ def piece(seq: list[str], most: int, rng: np.random.Generator) -> list[str]:
     return seq[at : at + most]
 
 
-def train(sentences: list[tuple[str, str]], background: list[str], net: Network) -> dict[str, np.ndarray]:
-    """Fit on (sentence, label) and on background sentences, which are clean."""
+def train(sentences: list[tuple[str, str]], background: list[list[str]], net: Network) -> dict[str, np.ndarray]:
+    """Fit on (sentence, label) and on background windows as words, which are clean."""
     rng = np.random.default_rng(net.seed)
     p = init(net)
     by = {label: [plain_words(s) for s, y in sentences if y == label] for label in LABELS}
-    rest = [plain_words(s) for s in background]
     by["clean"] = [w for w in by["clean"] if w] or [["-"]]
-    rest = likely_clean([w for w in rest if w], by) or by["clean"]
+    rest = likely_clean(background, by) or by["clean"]
     bad = [y for y in LABELS[1:] if any(by[y])]
 
     def disguise(w: str) -> str:
@@ -312,20 +342,20 @@ def train(sentences: list[tuple[str, str]], background: list[str], net: Network)
             xb, yb = x[pick].T, y[pick]  # steps x rows
             ids, inv = np.unique(xb, return_inverse=True)
             inv = inv.reshape(xb.shape)
-            spans = [np.arange(first[i], first[i + 1]) for i in ids]
-            flat_c = np.concatenate(spans) if spans else np.empty(0, np.int64)
-            own = np.repeat(np.arange(len(ids)), [len(s) for s in spans])
+            sizes = first[ids + 1] - first[ids]
+            own = np.repeat(np.arange(len(ids)), sizes)
+            flat_c = np.arange(len(own)) + np.repeat(first[ids] - np.cumsum(sizes) + sizes, sizes)
             vec = np.zeros((len(ids), 2 * width + 3), np.float32)
             drop = (rng.random(len(ids)) > 0.3).astype(np.float32)[:, None]  # the word's own vector may be missing
             vec[:, :width] = p["E"][e[ids]] * drop
-            np.add.at(vec[:, width : 2 * width], own, p["C"][chars[flat_c]] * share[ids][own][:, None])
+            has, sums = grouped(own, p["C"][chars[flat_c]])
+            vec[has, width : 2 * width] = sums * share[ids[has]][:, None]
             vec[:, 2 * width :] = f[ids]
             vec[ids == 0] = 0
             mask = xb > 0
-            xf, xr = (vec @ p["Wf"] + p["Bf"])[inv], (vec @ p["Wb"] + p["Bb"])[inv[::-1]]
-            hf, tf = _gru(xf, p["Uf"], h, True)
-            hb, tb = _gru(xr, p["Ub"], h, True)
-            hs = np.concatenate([hf, hb[::-1]], axis=2)
+            x2 = _both((vec @ p["Wf"] + p["Bf"])[inv], (vec @ p["Wb"] + p["Bb"])[inv[::-1]])
+            hs, tape = _gru(x2, p["U"], h, True)
+            hs = _joined(hs)
             att, w, pooled = _pool(hs, mask, p)
             prob = _softmax(pooled @ p["O"] + p["o"])
             target = np.full_like(prob, 0.02 / 4)
@@ -339,11 +369,10 @@ def train(sentences: list[tuple[str, str]], background: list[str], net: Network)
             datt = de[:, :, None] * p["a"] * (1 - att * att)
             g["A"] = np.einsum("tnh,tnk->hk", hs, datt)
             dhs = w[:, :, None] * dpool + datt @ p["A"].T
-            dxf, g["Uf"] = _gru_back(dhs[:, :, :h], tf, p["Uf"], h)
-            dxr, g["Ub"] = _gru_back(np.ascontiguousarray(dhs[::-1, :, h:]), tb, p["Ub"], h)
-            tot_f, tot_b = np.zeros((len(ids), 3 * h), np.float32), np.zeros((len(ids), 3 * h), np.float32)
-            np.add.at(tot_f, inv.reshape(-1), dxf.reshape(-1, 3 * h))
-            np.add.at(tot_b, inv[::-1].reshape(-1), dxr.reshape(-1, 3 * h))
+            dx, g["U"] = _gru_back(_both(dhs[:, :, :h], dhs[::-1, :, h:]), tape, p["U"], h)
+            dxf, dxr = dx[:, 0], dx[:, 1]
+            _, total = grouped(inv.reshape(-1), np.concatenate([dxf, dxr[::-1]], axis=2).reshape(-1, 6 * h))
+            tot_f, tot_b = total[:, : 3 * h], total[:, 3 * h :]
             g["Wf"], g["Bf"], g["Wb"], g["Bb"] = vec.T @ tot_f, tot_f.sum(axis=0), vec.T @ tot_b, tot_b.sum(axis=0)
             dvec = tot_f @ p["Wf"].T + tot_b @ p["Wb"].T
             dvec[ids == 0] = 0
@@ -351,9 +380,7 @@ def train(sentences: list[tuple[str, str]], background: list[str], net: Network)
             rate = net.rate * (1 - 0.9 * epoch / net.epochs) * np.sqrt(1 - 0.999**count) / (1 - 0.9**count)
             sparse = {"E": (e[ids], dvec[:, :width] * drop), "C": (chars[flat_c], dvec[own, width : 2 * width] * share[ids][own][:, None])}
             for k, (rows, dv) in sparse.items():
-                u, back = np.unique(rows, return_inverse=True)
-                gs = np.zeros((len(u), width), np.float32)
-                np.add.at(gs, back, dv)
+                u, gs = grouped(rows, dv)
                 m[k][u] = 0.9 * m[k][u] + 0.1 * gs
                 v[k][u] = 0.999 * v[k][u] + 0.001 * gs * gs
                 p[k][u] -= (rate * (m[k][u] / (np.sqrt(v[k][u]) + 1e-8) + 0.01 * p[k][u])).astype(np.float32)
@@ -395,12 +422,11 @@ class Scorer:
     def _windows(self, ids: np.ndarray) -> np.ndarray:
         """Probabilities of windows given as (rows, window) word rows."""
         h, out = self.net.hidden, []
-        for a in range(0, len(ids), 2048):
-            x = ids[a : a + 2048].T
+        for a in range(0, len(ids), 1024):
+            x = ids[a : a + 1024].T
             t = self.table[x]
-            hf, _ = _gru(t[:, :, : 3 * h], self.p["Uf"], h, False)
-            hb, _ = _gru(t[::-1, :, 3 * h :], self.p["Ub"], h, False)
-            _, _, pooled = _pool(np.concatenate([hf, hb[::-1]], axis=2), x > 0, self.p)
+            hs, _ = _gru(_both(t[:, :, : 3 * h], t[::-1, :, 3 * h :]), self.p["U"], h, False)
+            _, _, pooled = _pool(_joined(hs), x > 0, self.p)
             out.append(_softmax(pooled @ self.p["O"] + self.p["o"]))
         return np.concatenate(out) if out else np.empty((0, len(LABELS)), np.float32)
 
@@ -432,8 +458,8 @@ class Scorer:
         return out
 
 
-def background_windows(docs: DataFrame, net: Network) -> list[str]:
-    """The windows without any listed word of a bounded sample of documents.
+def background_windows(docs: DataFrame, net: Network) -> list[list[str]]:
+    """The windows, as words, without any listed word of a bounded sample of documents.
 
     The documents are those of the least hashes; only a share that holds about twice as many is sorted and sent.
     """
@@ -441,19 +467,31 @@ def background_windows(docs: DataFrame, net: Network) -> list[str]:
     share = min(1.0, 2 * net.background / max(docs.count(), 1))
     least = F.xxhash64("doc_id") <= min(2**63 - 1, int(-(2**63) + share * 2**64))
     rows = docs.where(least).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(net.background).collect()
-    out: list[str] = []
-    for _, text in sorted(rows):
-        parts = windows(plain_words(text), net)
-        out += [" ".join(w) for w in parts if w and not any(any(flags(x)) for x in w)]
-    return out
+    flagged = cache(lambda w: any(flags(w)))
+    return [w for _, text in sorted(rows) for w in windows(plain_words(text), net) if w and not any(map(flagged, w))]
 
 
 def fit(docs: DataFrame, samples: DataFrame, net: Network = Network()) -> dict[str, np.ndarray]:
-    """Train on the labelled samples, the seeds and the background."""
-    rows = samples.where(F.col("label").isin(*LABELS) & F.col("text").isNotNull()).select("text", "label").limit(net.max_samples).collect()
+    """Train on the labelled samples, the seeds and the background.
+
+    A fitted network is kept in the shared folder under a digest of all that it was trained on, and read from there by the
+    next query over the same data.
+    """
+    spark = docs.sparkSession
+    known = samples.where(F.col("label").isin(*LABELS) & F.col("text").isNotNull()).select("text", "label")
+    rows = known.orderBy(F.xxhash64("text", "label"), "text", "label").limit(net.max_samples).collect()
     labelled = sorted((r[0], r[1]) for r in rows)
     labelled += [(s, label) for label, block in lists.SEEDS.items() for s in block.strip().splitlines()]
-    return train(labelled, background_windows(docs, net), net)
+    background = background_windows(docs, net)
+    digest = xxhash.xxh3_128_hexdigest(repr((VERSION, net, labelled, background)).encode("utf-8", "surrogatepass"))
+    path = f"{shared_dir(spark).rstrip('/')}/tallyloom-moderation-{digest}"
+    if exists(spark, f"{path}/_SUCCESS"):
+        return dict(np.load(io.BytesIO(spark.read.parquet(path).first()[0])))
+    model = train(labelled, background, net)
+    out = io.BytesIO()
+    np.savez(out, **model)
+    spark.createDataFrame([(bytearray(out.getvalue()),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return model
 
 
 def scores(docs: DataFrame, samples: DataFrame, net: Network = Network()) -> DataFrame:

@@ -40,18 +40,11 @@ SEEDS = {
 יא מפגר, מגיע לך למות
 הכתב הזה דביל מוחלט, שיפטרו אותו ושירעב
 ליאת מורן היא אפס ותמיד תהיה אפס
-only a moron writes this, you make me sick
 you worthless piece of trash, go to hell
 i hope you die, bastard
-what a pathetic loser, someone should punch you
-this reporter is a piece of shit and should rot
-i hope you choke, you idiot
-ferme ta gueule, espèce de connard
 quel crétin, va crever
 tu es une ordure, tout le monde te déteste
 ce journaliste est un abruti, qu'il crève
-заткнись, тупой урод, сдохни уже
-этот журналист просто конченый идиот и мразь
 какая ты тварь, чтоб ты сдох
 ты дебил и подонок, тебя никто не любит
 اخرس يا كلب يا حقير
@@ -69,9 +62,7 @@ they are a cancer on this country and must be cut out
 it is a pity they were not all killed
 those people are rats, throw them into the sea
 their blood is filthy, never marry one of them
-all of them are born thieves and rapists, deport them
 ces gens sont de la vermine, il faut les exterminer
-il faut tous les expulser et brûler leurs maisons
 эти люди паразиты, их надо истребить
 выгнать их всех и сжечь их дома
 هؤلاء حشرات يجب إبادتهم
@@ -83,11 +74,8 @@ il faut tous les expulser et brûler leurs maisons
 נערות ליווי לוהטות מחכות לשיחה שלך
 גמר לה על השדיים והיא ביקשה עוד
 וידאו אורגיות בלי צנזורה, כניסה מגיל שמונה עשרה
-רוצה מין אוראלי הלילה
-קשה עם רטובות בלי צנזורה
 watch uncensored orgy clips with wet girls tonight
 she stripped naked and moaned while he took her
-call now for hot oral sex with strippers
 live porn cams, horny teens over eighteen
 vidéos porno gratuites, filles chaudes toutes nues
 elle a enlevé son soutien-gorge et a gémi toute la nuit
@@ -111,24 +99,18 @@ elle a enlevé son soutien-gorge et a gémi toute la nuit
 היא אמרה שהאישום באונס נדון בדלתיים סגורות
 the kennel's dogs were vaccinated, including a bitch and her puppies
 pest control removed rats and cockroaches from the kitchen
-a nude study by the painter hangs in the museum
 the court heard a case of sexual harassment
-the clinic offers sex education and contraception advice
 police arrested a man who posted threats against a minority
 garbage trucks will collect the trash on tuesday
 the union demands that dumb rules be scrapped, said the spokesman
 doctors report that lung cancer is found earlier
-le conseil a présenté le rapport en début de mois
-selon la commission, les habitants demandent une audience publique
 le musée expose des nus de la renaissance
 l'équipe de nettoyage a ramassé les ordures
 la police enquête sur des menaces contre une journaliste
-городской совет утвердил отчёт о расходах воды
 по данным комиссии, жители поддержали перемены
 врачи раньше находят рак груди
 музей показал картину с обнажённой моделью
 وأفادت اللجنة بأن السكان رحبوا بالتغيير
-قدم المجلس الإقليمي تقرير استهلاك المياه يوم الاثنين
 تم تطعيم الكلب في العيادة البيطرية
 """,
 }

@@ -231,6 +231,39 @@ def test_moderation_held_out(spark):
     assert long[1:, 0].tolist() == [1, 1, 1]
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the test tables")
+def test_moderation_without_lists(spark, monkeypatch):
+    """Words in no list are judged by what the network learned: no flag is set in training or scoring."""
+    d = "/root/testdata/sf0.01"
+    rows = sorted((r.sample_id, r.text, r.label) for r in spark.read.parquet(f"{d}/moderation_samples.parquet").where("text IS NOT NULL").collect())
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    held, kept = rows[1::4], [(t, y) for i, (_, t, y) in enumerate(rows) if i % 4 != 1]
+    background = MO.background_windows(docs, SMALL)
+    monkeypatch.setattr(MO, "flags", lambda word: (0, 0, 0))
+    p = MO.Scorer(MO.train(kept, background, SMALL), SMALL)([t for _, t, _ in held])
+    assert np.mean([(1 - a[0] >= 0.5) == (y != "clean") for a, (_, _, y) in zip(p, held)]) > 0.93
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the test tables")
+def test_seeds_are_not_in_the_documents(spark):
+    docs = [MO.plain_words(r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    runs = {tuple(d[a : a + 4]) for d in docs for a in range(len(d) - 3)}
+    for block in MO.lists.SEEDS.values():
+        for line in block.strip().splitlines():
+            w = MO.plain_words(line)
+            assert runs.isdisjoint(tuple(w[a : a + 4]) for a in range(len(w) - 3)), line
+
+
+def test_network_is_fitted_once(spark, monkeypatch):
+    samples = spark.createDataFrame([(1, "you idiot", "abusive"), (2, "the council met again", "clean")], "sample_id bigint, text string, label string")
+    docs = spark.createDataFrame([(1, "shut up you idiot bastard", "s")], "doc_id bigint, text string, source string")
+    tiny = MO.Network(epochs=1, size=200, background=10)
+    first = MO.fit(docs, samples, tiny)
+    monkeypatch.setattr(MO, "train", None)
+    again = MO.fit(docs, samples, tiny)
+    assert all((first[k] == again[k]).all() for k in first)
+
+
 def test_moderation_table(spark):
     samples = spark.createDataFrame([(1, "you idiot", "he", "abusive"), (2, "the council met", None, "clean"), (3, None, None, "clean"), (4, "x", None, "odd")], "sample_id bigint, text string, lang string, label string")
     docs = spark.createDataFrame([(1, "shut up you idiot bastard", "s", 0.1), (2, None, "s", 0.1), (3, "", None, 0.1), (1, "shut up you idiot bastard", "s", 0.1)], "doc_id bigint, text string, source string, score double")
