@@ -7,9 +7,11 @@ Each answer is read once: reasoning blocks and a label are taken off, then
 - *language*: votes of stopwords and scripts, names (capitalised words) aside, go to another language than Hebrew;
 - *copy*: a suffix automaton of the prompt's words measures how much of the answer is copied; where all of it is, a check
   that the answer is a chain of whole sentences of the prompt decides;
-- *truncated*: a delimiter stack with something left open, or an end that other answers only have inside sentences. For
-  that, words, runs of words and words at a distance from the end are counted inside and at the ends of all finished
-  sentences, and the ends of unfinished answers are joined to the counts.
+- *truncated*: an unfinished answer with something left open on a delimiter stack, with a stopword that governs what follows
+  as its last word, or whose last word is none of the prompt's but, after the state that the prompt's automaton is in, begins
+  one (unless finished answers end with it). That leaves cuts whose words the prompt doesn't hold: there, as an addition to
+  the method, the final words are joined to counts of runs of words inside and at the ends of all sentences, as for problem 2.
+  ``p3_reasons`` gives the share of each.
 
 Scale: one pass in Arrow batches, then grouping by short runs with partial aggregation; hot runs are one counter. An
 automaton is built per prompt and only where enough of the answer's words occur in the prompt at all to matter.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import ahocorasick
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.cutoff import SENTENCE, USUAL, WORD, gram_reason, seen_grams
 from tallyloom.llm.wordform import strip_marks, words
 from tallyloom.session import keep, ship
 
@@ -61,6 +65,8 @@ STOPWORDS = {
     "es": "el los las y que en por para con una del se como más su al es son según".split(),
     "de": "der die das und ist nicht mit von den dem ein eine zu auf für im des sich nach wurde".split(),
 }
+#: Hebrew stopwords that something must follow: no sentence ends with one.
+GOVERNING = frozenset("של את על כי עם אל או אך אבל אם כל בין לפי לאחר אחרי עד רק מי אשר כדי בשל בעקבות לקראת".split())
 _SCRIPTS = {"he": "֐-׿יִ-ﭏ", "ru": "Ѐ-ԯ", "ar": "؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿"}
 _SCRIPT_RE = {k: re.compile(f"[{v}]") for k, v in _SCRIPTS.items()}
 
@@ -136,6 +142,20 @@ class SuffixAutomaton:
         return covered / len(sequence)
 
 
+    def begins(self, sequence: list[str], fragment: str) -> bool:
+        """Whether, after the longest matched end of ``sequence`` or a shorter one, a longer word starts with ``fragment``."""
+        state = 0
+        for w in sequence:
+            while state and w not in self.next[state]:
+                state = self.link[state]
+            state = self.next[state].get(w, 0)
+        while state >= 0:
+            if any(w != fragment and w.startswith(fragment) for w in self.next[state]):
+                return True
+            state = self.link[state]
+        return False
+
+
 def strip_label(text: str) -> str:
     for pattern in (_WORD_LABEL, _NAME_LABEL, _WORD_LABEL):
         text = pattern.sub("", text, count=1)
@@ -208,84 +228,96 @@ def left_open(text: str) -> bool:
     return bool(stack)
 
 
-def read_answer(prompt: str | None, answer: str | None, copied: float = 0.98) -> tuple[str | None, list[list[str]], list[str]]:
-    """(defect that the pair alone shows, finished sentences as words, words of an unfinished last sentence)."""
+@dataclass(frozen=True)
+class Reading:
+    """What a pair alone shows: a defect and what showed it; else the finished sentences as words, the words of an unfinished
+    last one, and whether the last of these only begins a word of the prompt."""
+
+    defect: str | None = None
+    how: str | None = None
+    done: tuple[list[str], ...] = ()
+    open: tuple[str, ...] = ()
+    begun: bool = False
+
+
+def read_answer(prompt: str | None, answer: str | None, copied: float = 0.98) -> Reading:
     body = _THINK.sub("", answer or "")
     rest = strip_label(body.strip())
     found = words(rest)
     if not found:
-        return "empty", [], []
+        return Reading("empty", "no word")
     if refuses(rest):
-        return "refusal", [], []
+        return Reading("refusal", "automaton")
     if language(rest) not in ("he", None):
-        return "language", [], []
+        return Reading("language", "votes")
     source = words(prompt)
-    if source:
-        have = set(source)
-        if sum(w in have for w in found) >= copied * len(found):
-            if SuffixAutomaton(source).coverage(found, 3) >= copied or len(found) < 3:
-                parts = [words(s) for s in sentences(prompt)]
-                if is_chain(found, parts):
-                    return "copy", [], []
+    have = set(source)
+    automaton: SuffixAutomaton | None = None
+    if source and sum(w in have for w in found) >= copied * len(found):
+        automaton = SuffixAutomaton(source)
+        if automaton.coverage(found, 3) >= copied or len(found) < 3:
+            if is_chain(found, [words(s) for s in sentences(prompt)]):
+                return Reading("copy", "automaton")
     plain = rest.strip()
-    pieces = [words(s) for s in sentences(plain)]
-    pieces = [p for p in pieces if p]
-    finished = bool(_DONE.search(plain)) and not _ELLIPSIS.search(plain)
-    if not finished:
-        last = pieces.pop() if pieces else []
-        if left_open(plain) or plain.endswith("�"):
-            return "truncated", pieces, []
-        return None, pieces, last
-    return None, pieces, []
-
-
-COUNTS_SQL = """
-WITH parts AS (SELECT s, true AS done FROM {read} LATERAL VIEW explode(done) d AS s UNION ALL SELECT open, false FROM {read} WHERE size(open) > 0),
-kinds AS (SELECT transform(s, w -> regexp_replace(w, '[0-9]+', '0')) AS ws, done, k FROM parts LATERAL VIEW explode(array(1, 2, 3, -1, -2, -3)) ks AS k),
-grams AS (
-  SELECT k, if(k > 0, array_join(slice(ws, i, k), ' '), ws[i - 1]) AS gram, done,
-         i + if(k > 0, k, 1 - k) > size(ws) AS last
-  FROM kinds LATERAL VIEW explode(if(size(ws) >= abs(k) + int(k < 0), sequence(1, size(ws) - if(k > 0, k - 1, -k)), array())) places AS i
+    pieces = [p for p in (words(s) for s in sentences(plain)) if p]
+    if _DONE.search(plain) and not _ELLIPSIS.search(plain):
+        return Reading(done=tuple(pieces))
+    last = pieces.pop() if pieces else []
+    if left_open(plain) or plain.endswith("�"):
+        return Reading("truncated", "delimiters", tuple(pieces))
+    if last and last[-1] in GOVERNING:
+        return Reading("truncated", "stopword", tuple(pieces))
+    begun = bool(last) and last[-1] not in have and any(w.startswith(last[-1]) for w in have)
+    if begun:
+        begun = (automaton or SuffixAutomaton(source)).begins(last[:-1], last[-1])
+    return Reading(None, None, tuple(pieces), tuple(last), begun)
+
+
+#: Finished sentences, and the unfinished last part of each answer, for the grams of :mod:`cutoff`.
+PARTS_SQL = """
+SELECT uid, pos, transform(s, w -> regexp_replace(w, '[0-9]+', '0')) AS ws, sound FROM (
+  SELECT pos AS uid, pos, s, true AS sound FROM {read} LATERAL VIEW explode(done) d AS s
+  UNION ALL SELECT pos, pos, open, false FROM {read} WHERE size(open) > 0
 )
-SELECT k, gram, count_if(NOT last) AS inside, count_if(last AND done) AS final FROM grams GROUP BY k, gram
 """
 
-#: k > 0: the last k words; k < 0: the word that has -k words after it.
-CUT_SQL = """
-WITH ends AS (
-  SELECT pos, transform(open, w -> regexp_replace(w, '[0-9]+', '0')) AS ws, k FROM {read} LATERAL VIEW explode(array(1, 2, 3, -1, -2, -3)) ks AS k WHERE size(open) > 0
-),
-finals AS (SELECT pos, k, if(k > 0, array_join(slice(ws, size(ws) - k + 1, k), ' '), ws[size(ws) - 1 + k]) AS gram FROM ends WHERE size(ws) >= abs(k) + int(k < 0)),
-prefixes AS (
-  SELECT prefix, sum(inside + final) AS longer FROM (
-    SELECT explode(transform(sequence(1, char_length(gram) - 1), i -> substring(gram, 1, i))) AS prefix, inside, final
-    FROM {counts} WHERE k = 1 AND char_length(gram) > 1) GROUP BY prefix
-)
-SELECT f.pos,
-  bool_or(f.k = 1 AND c.final >= 5 AND c.final >= 4 * c.inside) AS usual_end,
-  bool_or(f.k = 1 AND coalesce(p.longer, 0) >= {word} * (coalesce(c.inside, 0) + coalesce(c.final, 0)) + 3) AS in_word,
-  bool_or(coalesce(c.inside, 0) >= if(f.k = 1, {least}, 3 * {least}) AND coalesce(c.final, 0) <= {rare} * c.inside) AS in_sentence
-FROM finals f LEFT JOIN {counts} c ON c.k = f.k AND c.gram = f.gram LEFT JOIN prefixes p ON f.k = 1 AND p.prefix = f.gram
-GROUP BY f.pos
+#: ``usual``: the last word ends at least three finished sentences, and a fair share of those that have it.
+LATE_SQL = """
+SELECT r.pos, CASE WHEN r.begun AND NOT coalesce(g.usual, false) THEN 'automaton' WHEN g.reason IS NOT NULL THEN concat('counts, ', g.reason.reason) END AS how
+FROM (SELECT pos, begun FROM {read} WHERE size(open) > 0) r
+LEFT JOIN (SELECT uid, {grams} AS reason, e1 >= 3 AND e1 >= 0.1D * (i1 + e1 + l1) AS usual FROM {seen}) g ON g.uid = r.pos
 """
 
 
-def defects(pairs: DataFrame, word: int = 10, rare: float = 0.01, least: int = 6) -> DataFrame:
-    """(pos, defect) of all defective pairs of ``pairs`` (pos, text, prediction)."""
+def explained(pairs: DataFrame) -> DataFrame:
+    """(pos, defect, how) of all defective pairs of ``pairs`` (pos, text, prediction); ``how`` says what showed it."""
     spark = ship(pairs.sparkSession)
+    text = pa.list_(pa.string())
+    kinds = {"pos": pa.int64(), "defect": pa.string(), "how": pa.string(), "begun": pa.bool_(), "done": pa.list_(text), "open": text}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [read_answer(t, a) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            defect, done, open_ = zip(*rows) if rows else ((), (), ())
-            text = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(defect, pa.string()), pa.array(done, pa.list_(text)), pa.array(open_, text)], names=["pos", "defect", "done", "open"])
-
-    read = keep(pairs.select("pos", "text", "prediction").mapInArrow(run, "pos bigint, defect string, done array<array<string>>, open array<string>"), "answers")
-    counts = keep(spark.sql(COUNTS_SQL, read=read), "answer-ends")
-    cut = spark.sql(CUT_SQL, read=read, counts=counts, word=word, rare=rare, least=least)
-    late = cut.where("in_word OR (in_sentence AND NOT coalesce(usual_end, false))").select("pos", F.lit("truncated").alias("defect"))
-    return read.where("defect IS NOT NULL").select("pos", "defect").unionByName(late)
+            found = [read_answer(t, a) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            cols = [[getattr(f, name) for f in found] for name in list(kinds)[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, list(kinds.values())[1:]))], names=list(kinds))
+
+    schema = "pos bigint, defect string, how string, begun boolean, done array<array<string>>, open array<string>"
+    read = keep(pairs.select("pos", "text", "prediction").mapInArrow(run, schema), "answers")
+    parts = spark.sql(PARTS_SQL, read=read)
+    seen = seen_grams(parts, parts.where("NOT sound"))
+    late = spark.sql(LATE_SQL.replace("{grams}", gram_reason(WORD, SENTENCE, USUAL)), read=read, seen=seen)
+    cut = late.where("how IS NOT NULL").select("pos", F.lit("truncated").alias("defect"), "how")
+    return read.where("defect IS NOT NULL").select("pos", "defect", "how").unionByName(cut)
+
+
+def defects(pairs: DataFrame) -> DataFrame:
+    """(pos, defect) of all defective pairs."""
+    return explained(pairs).select("pos", "defect")
+
+
+def defect_reasons(pairs: DataFrame) -> DataFrame:
+    """(defect, how, n): defective pairs by what showed the defect."""
+    return explained(pairs).groupBy("defect", "how").agg(F.count("*").alias("n"))
 
 
 def defect_rates(pairs: DataFrame) -> DataFrame:

@@ -169,6 +169,14 @@ FROM {judged} j LEFT JOIN limits l ON l.field = j.field AND l.source = j.source
 WORD, SENTENCE, USUAL = (0.25, 0.25, 0.25), (0.03, 0.08, 0.1), 0.1
 
 
+def seen_grams(marked: DataFrame, asked: DataFrame) -> DataFrame:
+    """(uid, i, e, l of 1 to 3 words): how often the final grams of ``asked`` stand inside and at sound ends of ``marked``, and
+    begin longer words there. Both have uid, ws and sound."""
+    spark = marked.sparkSession
+    columns = ", ".join(f"coalesce(max({v}) FILTER (WHERE k = {k}), 0) AS {n}{k}" for n, v in (("i", "inside"), ("e", "final - own"), ("l", "longer")) for k in (1, 2, 3))
+    return spark.sql(SEEN_SQL.replace("{columns}", columns), finals=spark.sql(FINALS_SQL, marked=asked), counts=spark.sql(COUNTS_SQL, marked=marked))
+
+
 def judged(records: DataFrame, replacements: DataFrame, pile: int = 4, word: tuple[float, ...] = WORD, sentence: tuple[float, ...] = SENTENCE, usual: float = USUAL, shown: float = 0.3) -> DataFrame:
     """Every value with the reason for which it is a case, or null, and how many final words showed it."""
     spark = records.sparkSession
@@ -176,10 +184,7 @@ def judged(records: DataFrame, replacements: DataFrame, pile: int = 4, word: tup
     values = keep(values, "cutoff-values")
     limits = keep(spark.sql(LIMITS_SQL, values=values, pile=pile), "cutoff-limits")
     marked = spark.sql(MARKED_SQL, values=values, limits=limits)
-    finals = spark.sql(FINALS_SQL, marked=marked)
-    columns = ", ".join(f"coalesce(max({v}) FILTER (WHERE k = {k}), 0) AS {n}{k}" for n, v in (("i", "inside"), ("e", "final - own"), ("l", "longer")) for k in (1, 2, 3))
-    seen = spark.sql(SEEN_SQL.replace("{columns}", columns), finals=finals, counts=spark.sql(COUNTS_SQL, marked=marked))
-    grams = gram_reason(word, sentence, usual)
+    seen, grams = seen_grams(marked, marked), gram_reason(word, sentence, usual)
     found = keep(spark.sql(JUDGED_SQL.replace("{grams}", grams), marked=marked, seen=seen), "cutoff-judged")
     return spark.sql(LIMITED_SQL, judged=found, shown=shown)
 

@@ -42,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_rates": lambda s, d: cutoff.cut_rates(*_headlines(s, d)),
         "p2_reasons": lambda s, d: cutoff.cut_reasons(*_headlines(s, d)),
         "p3_found": lambda s, d: answers.defects(t(s, d, "predictions_curated")),
+        "p3_reasons": lambda s, d: answers.defect_reasons(t(s, d, "predictions_curated")),
         "p3_rates": lambda s, d: answers.defect_rates(t(s, d, "predictions_curated")),
         "p4_found": lambda s, d: quota.report(*_quota(s, d)).where("drawn < need AND NOT can_be_met").select("target_id"),
         "p4_report": lambda s, d: quota.report(*_quota(s, d)),

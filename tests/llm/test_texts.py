@@ -44,6 +44,8 @@ def test_cut_off(spark):
     assert {i for f, i in got if f == "replacement_headline"} == {"0", "zz"}
     limited = {i for f, i in got if f == "headline" and i.isdigit()}
     assert limited == {str(1000 + i) for i in range(40)}
+    reasons = {(r.reason, r.words) for r in CO.cut_reasons(records, repl).collect()}
+    assert ("inside a word", 3) in reasons and ("inside a sentence", 3) in reasons
     rates = {(r.source, r.field): r for r in CO.cut_rates(records, repl).collect()}
     assert rates["lim", "headline"].cut_rate == 1.0 and rates["let", "headline"].n_cut == 0
     assert CO.cut_off(records.limit(0), repl.limit(0)).count() == 0
@@ -77,16 +79,16 @@ PROMPT = "ראש העיר פתח את הגשר החדש בחיפה. התושבי
         ('"אני מצטער, איני יכול להגיב", אמר ראש העיר ופתח את הגשר.', None), ("השר סירב לסכם ואמר כי לא יוכל לסייע.", None),
         ("The mayor opened the bridge.", "language"), ("Мэр открыл мост в городе.", "language"), ("افتتح رئيس البلدية الجسر.", "language"), ("Smart City Hub: ראש העיר חנך גשר.", None),
         ("התושבים ברכו על המהלך", "copy"), ("תקציר: העלות היא 5 מיליון שקלים. ראש הָעיר פתח את הגשר החדש בחיפה", "copy"), ("ראש העיר פתח את הגשר החדש.", None), ("העיר פתח את הגשר החדש בחיפה.", None),
-        ('הוא אמר "הגשר', "truncated"), ("ראש העיר חנך גשר (הבוקר)", None),
+        ('הוא אמר "הגשר', "truncated"), ("ראש העיר חנך את", "truncated"), ("ראש העיר חנך אמש", None), ("ראש העיר חנך גשר (הבוקר)", None),
     ],
 )
 def test_answers(answer, defect):
-    assert AN.read_answer(PROMPT, answer)[0] == defect
+    assert AN.read_answer(PROMPT, answer).defect == defect
 
 
 def test_copy_needs_a_prompt():
-    assert AN.read_answer(None, "התושבים ברכו על המהלך.")[0] is None
-    assert AN.read_answer("", "שלום.")[0] is None
+    assert AN.read_answer(None, "התושבים ברכו על המהלך.").defect is None
+    assert AN.read_answer("", "שלום.").defect is None
 
 
 @settings(max_examples=200, deadline=None)
@@ -101,6 +103,12 @@ def test_suffix_automaton(text, query, least):
     assert AN.SuffixAutomaton(text).coverage(query, least) == pytest.approx(want)
 
 
+def test_word_of_the_prompt_that_an_answer_begins():
+    assert AN.read_answer(PROMPT, "ראש העיר פתח את הגשר החד").begun and AN.read_answer(PROMPT, "הם שמחו על המה").begun
+    assert not AN.read_answer(PROMPT, "ראש העיר פתח את הגשר").begun and not AN.read_answer(None, "ראש העיר פתח גש").begun
+    assert not AN.read_answer(PROMPT, "ראש העיר פתח גש.").begun
+
+
 def test_truncated_answers(spark):
     rng = random.Random(2)
     full = [f"{rng.choice(('השר', 'השופט', 'המאמן'))} אישר אתמול את {rng.choice(('התקציב', 'הגשר', 'הסקר'))} החדש של המדינה." for _ in range(200)]
@@ -108,6 +116,8 @@ def test_truncated_answers(spark):
     rows += [(900, PROMPT, "השר אישר אתמול את", "m", None, "x"), (901, PROMPT, "השר אישר אתמול את התקצ", "m", None, "x"), (902, PROMPT, "השר אישר אתמול את הגשר החדש של המדינה", "m", None, "x"), (903, None, None, None, None, "x")]
     df = spark.createDataFrame(rows, "pos bigint, text string, prediction string, model string, variant string, done string")
     assert {(r.pos, r.defect) for r in AN.defects(df).collect()} == {(900, "truncated"), (901, "truncated"), (903, "empty")}
+    how = {(r.defect, r.how): r.n for r in AN.defect_reasons(df).collect()}
+    assert how == {("truncated", "stopword"): 1, ("truncated", "counts, inside a word"): 1, ("empty", "no word"): 1}
     assert {(r.model, r.defect): r.n_defective for r in AN.defect_rates(df).collect()} == {("m", "truncated"): 2, (None, "empty"): 1}
     assert AN.defects(df.limit(0)).count() == 0
 
