@@ -22,6 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,8 +174,19 @@ class Merger:
         return out
 
 
-def encode_batch(texts: list[str | None], merger: Merger) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, ids' offset of each text, code-point starts of the ids' pieces, pieces' offset of each text)."""
+def parts_of(batch: pa.RecordBatch, text: int, rows: int = 1000, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and, but for single longer texts, ``chars`` bytes of text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + chars, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def encode_batch(texts: list[str | None], merger: Merger) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, ids' offset of each text, code-point starts of the pieces, pieces' offset of each text, ids of each piece)."""
     parts = [t or "" for t in texts]
     big = "\0".join(parts) + "\0"
     code = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -190,7 +202,7 @@ def encode_batch(texts: list[str | None], merger: Merger) -> tuple[np.ndarray, n
     piece_off = np.append([0], np.searchsorted(starts, seps))
     id_off = np.append([0], np.cumsum(sizes))[piece_off]
     owner = np.repeat(np.arange(len(parts)), np.diff(piece_off))
-    return ids, id_off, starts - (seps - lengths)[owner], piece_off
+    return ids, id_off, starts - (seps - lengths)[owner], piece_off, sizes
 
 
 def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, keys: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
@@ -200,19 +212,18 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, keys
     picked = df.select(*keys, F.col(text).alias("_text"))
     schema = picked.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType()))
     if spans:
-        schema = schema.add("starts", T.ArrayType(T.IntegerType()))
+        schema = schema.add("starts", T.ArrayType(T.IntegerType())).add("piece_ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = Merger(ranks.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in parts_of(batch, batch.num_columns - 1):
                 texts = part.column(part.num_columns - 1).to_pylist()
-                ids, id_off, starts, piece_off = encode_batch(texts, merger)
+                ids, id_off, starts, piece_off, sizes = encode_batch(texts, merger)
                 cols = [part.column(i) for i in range(part.num_columns - 1)]
                 cols.append(pa.ListArray.from_arrays(pa.array(id_off, pa.int32()), pa.array(ids, pa.int32())))
                 if spans:
-                    cols.append(pa.ListArray.from_arrays(pa.array(piece_off, pa.int32()), pa.array(starts, pa.int32())))
+                    cols += [pa.ListArray.from_arrays(pa.array(piece_off, pa.int32()), pa.array(v, pa.int32())) for v in (starts, sizes)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return picked.mapInArrow(run, schema)
@@ -232,10 +243,9 @@ def token_rates(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         merger = Merger(ranks.value)
         tokens = {v: k for k, v in ranks.value.items()}
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in parts_of(batch, 1):
                 texts = part.column(1).to_pylist()
-                ids, off, _, _ = encode_batch(texts, merger)
+                ids, off, *_ = encode_batch(texts, merger)
                 ids = ids.tolist()
                 n = np.diff(off)
                 back = [decode_ids(ids[a:b], tokens) == (t or "") for t, a, b in zip(texts, off, off[1:])]

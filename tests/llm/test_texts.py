@@ -134,15 +134,19 @@ def test_tokenizer_matches_the_library():
     alphabet = "a'sdtmlvreI  \n\t12!. א\xa0ְ—🙂\r3'　\x1c"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(5000)]
     texts += ["", None, "'" * 60, "x" * 5000, "<|endoftext|> a", " ", "it's they'll 've'd", "א" * 3000 + " ב"]
-    ids, off, starts, piece_off = BP.encode_batch(texts, BP.Merger(BP.load_ranks()))
+    ids, off, starts, piece_off, sizes = BP.encode_batch(texts, BP.Merger(BP.load_ranks()))
     want = t.encode_batch([x or "" for x in texts], add_special_tokens=False)
     for x, w, a, b in zip(texts, want, off, off[1:]):
         assert ids[a:b].tolist() == w.ids, x
     tokens = {v: k for k, v in BP.load_ranks().items()}
     assert all(BP.decode_ids(ids[a:b].tolist(), tokens) == (x or "") for x, a, b in zip(texts, off, off[1:]))
-    for i, x in enumerate(texts):
-        s = starts[piece_off[i] : piece_off[i + 1]]
-        assert len(s) == 0 or (s[0] == 0 and s[-1] < len(x))
+    for i, x in enumerate(texts):  # each piece's ids decode to its slice of the text
+        s, n = starts[piece_off[i] : piece_off[i + 1]].tolist(), sizes[piece_off[i] : piece_off[i + 1]].tolist()
+        at = off[i]
+        for a, b, k in zip(s, [*s[1:], len(x or "")], n):
+            assert BP.decode_ids(ids[at : at + k].tolist(), tokens) == x[a:b]
+            at += k
+        assert at == off[i + 1]
 
 
 @needs_vocabulary
@@ -151,11 +155,20 @@ def test_tokenizer_table(spark):
     rows = BP.encode(df).collect()
     assert sorted((r.doc_id, len(r.ids)) for r in rows) == [(1, 1), (1, 1), (2, 0), (3, 0)]
     spans = BP.encode(spark.createDataFrame([(1, "ab cd!")], "doc_id bigint, text string"), spans=True).first()
-    assert spans.starts == [0, 2, 5]
+    assert spans.starts == [0, 2, 5] and sum(spans.piece_ids) == len(spans.ids)
     assert {r.source: (r.n_docs, r.n_round_trip, r.n_empty) for r in BP.token_rates(df).collect()} == {"s": (3, 3, 1), None: (1, 1, 1)}
     assert BP.encode(df.limit(0)).count() == 0
 
 
+def test_parts_of_a_batch():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 5, None, "b" * 20, "", "c", "d" * 9])], names=["text"])
+    parts = list(BP.parts_of(batch, 0, rows=3, chars=10))
+    assert [p.num_rows for p in parts] == [2, 1, 3] and pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+    assert list(BP.parts_of(batch.slice(0, 0), 0)) == [] and [p.num_rows for p in BP.parts_of(batch.slice(2), 0, chars=10)] == [1, 3]
+
+
 def test_scan_is_the_automaton():
     rng = np.random.default_rng(1)
     cls = rng.integers(0, 5, 3000).astype(np.uint8)
