@@ -3,7 +3,8 @@
 All runs of ``run`` consecutive words of the items form one Aho-Corasick automaton over word numbers. A document's words
 are looked up in the items' vocabulary and its sequence goes through the automaton once; hits carry word positions, which
 map to offsets in the original text. The items are the stated query set: where they have more runs than ``block_runs``,
-they go through in blocks, each with an automaton of its own, against all documents.
+they go through in blocks, each with an automaton of its own, against all documents. The driver fetches one block at a
+time and hands it to Spark's broadcast; a worker process builds the automaton once and keeps it for its next tasks.
 
 Defined results: null, empty and shorter texts hold nothing; an item with fewer words than ``run`` can't be found; repeated
 items and repeated documents are each reported under their own id; other columns are not read.
@@ -11,11 +12,13 @@ items and repeated documents are each reported under their own id; other columns
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +58,31 @@ class ItemAutomaton:
         return self.automaton.iter(tuple([get(w, 0) for w in found]))
 
 
-def item_blocks(items: DataFrame, run: int, block_runs: int) -> list[list[tuple[int, str | None]]]:
+_BUILT: dict[str, ItemAutomaton] = {}
+
+
+def automaton_of(block: Broadcast, run: int) -> ItemAutomaton:
+    """The automaton of a broadcast block; a process keeps the last one."""
+    name, items = block.value
+    key = f"{name} {run}"
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = ItemAutomaton(items, run)
+    return _BUILT[key]
+
+
+def item_blocks(items: DataFrame, block_runs: int) -> list[Broadcast]:
     """The items in blocks of a bounded number of runs; their number is counted before any is fetched."""
     sized = items.select("item_id", "text").withColumn("_n", F.length(F.coalesce("text", F.lit(""))) / 2 + 1)
     total = sized.agg(F.sum("_n")).first()[0] or 0  # a word and a blank take two characters at least
     blocks = int(total // block_runs) + 1
-    out = []
-    for k in range(blocks):
+    sc = items.sparkSession.sparkContext
+
+    def block(k: int) -> Broadcast:
         part = items.select("item_id", "text").where((F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else F.lit(True))
-        out.append(sorted({(r[0], r[1]) for r in part.collect() if r[0] is not None and r[1] is not None}))
-    return out
+        return sc.broadcast((uuid.uuid4().hex, sorted({(r[0], r[1]) for r in part.collect() if r[0] is not None and r[1] is not None})))
+
+    return [block(k) for k in range(blocks)]
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, block_runs: int = BLOCK_RUNS) -> DataFrame:
@@ -72,9 +90,9 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, block_runs: int = B
     ship(docs.sparkSession)
     texts = docs.select("doc_id", "text")
 
-    def block(part: list[tuple[int, str | None]]) -> DataFrame:
+    def block(part: Broadcast) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = ItemAutomaton(part, run)
+            auto = automaton_of(part, run)
             for batch in batches:
                 out_d, out_i = [], []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -87,7 +105,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, block_runs: int = B
 
         return texts.mapInArrow(scan, "doc_id bigint, item_id bigint")
 
-    return reduce(DataFrame.unionByName, [block(p) for p in item_blocks(items, run, block_runs)]).distinct()
+    return reduce(DataFrame.unionByName, [block(p) for p in item_blocks(items, block_runs)]).distinct()
 
 
 def passages(docs: DataFrame, items: DataFrame, run: int = RUN, block_runs: int = BLOCK_RUNS) -> DataFrame:
@@ -96,9 +114,9 @@ def passages(docs: DataFrame, items: DataFrame, run: int = RUN, block_runs: int
     texts = docs.select("doc_id", "text")
     names = ["doc_id", "item_id", "start", "end", "n_words"]
 
-    def block(part: list[tuple[int, str | None]]) -> DataFrame:
+    def block(part: Broadcast) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = ItemAutomaton(part, run)
+            auto = automaton_of(part, run)
             for batch in batches:
                 rows: list[tuple] = []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -122,7 +140,7 @@ def passages(docs: DataFrame, items: DataFrame, run: int = RUN, block_runs: int
 
         return texts.mapInArrow(scan, "doc_id bigint, item_id bigint, start int, end int, n_words int")
 
-    return reduce(DataFrame.unionByName, [block(p) for p in item_blocks(items, run, block_runs)])
+    return reduce(DataFrame.unionByName, [block(p) for p in item_blocks(items, block_runs)])
 
 
 def item_report(docs: DataFrame, items: DataFrame) -> DataFrame:
