@@ -163,20 +163,21 @@ def _fit(items: DataFrame, annotators: int, p: Entropy) -> dict[str, tuple[np.nd
     """(s, prior) per task; one pass over the items a round serves all tasks."""
     state = {task: _Ascent(annotators, len(labels), p) for task, labels in LABELS.items()}
     for _ in range(p.rounds):
-        now = {task: (a.s, a.prior) for task, a in state.items()}
+        cast = items.sparkSession.sparkContext.broadcast({task: (a.s, a.prior) for task, a in state.items()})
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[str, list[np.ndarray]] = {}
             for batch in _pieces(batches):
                 for task, part in _by_task(batch):
-                    s, prior = now[task]
+                    s, prior = cast.value[task]
                     k = len(prior)
                     lists = _lists(part)
                     found = _start(*lists, k, 2 * annotators) if s is None else _gradient(*lists, s, prior, p)
                     total[task] = [a + b for a, b in zip(total[task], found)] if task in total else list(found)
             for task, (g, h, mass) in total.items():
-                at = np.arange(g.size + len(mass))
-                cols = [pa.array([task] * len(at)), pa.array(at), pa.array(np.append(g.reshape(-1), mass)), pa.array(np.append(h.reshape(-1), np.zeros(len(mass))))]
+                g, h = np.append(g.reshape(-1), mass), np.append(h.reshape(-1), np.zeros(len(mass)))
+                at = np.flatnonzero((g != 0) | (h != 0))  # only the annotators of these items
+                cols = [pa.array([task] * len(at)), pa.array(at), pa.array(g[at]), pa.array(h[at])]
                 yield pa.RecordBatch.from_arrays(cols, names=["task", "at", "g", "h"])
 
         out = items.mapInArrow(sums, "task string, at bigint, g double, h double").groupBy("task", "at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
@@ -188,6 +189,7 @@ def _fit(items: DataFrame, annotators: int, p: Entropy) -> dict[str, tuple[np.nd
             at = out.column("at").to_numpy()[mine]
             g[at], h[at] = out.column("g").to_numpy()[mine], out.column("h").to_numpy()[mine]
             a.step(g[:-k], h[:-k], g[-k:])
+        cast.destroy()
     return {task: (a.s, a.prior) for task, a in state.items()}
 
 
@@ -211,11 +213,12 @@ def _judged(log: DataFrame, p: Entropy) -> tuple[DataFrame, dict[str, tuple[np.n
     ship(log.sparkSession)
     items, names = _items(log, p)
     fits = _fit(items, len(names), p)
+    cast = items.sparkSession.sparkContext.broadcast(fits)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
             for task, part in _by_task(batch):
-                s, prior = fits[task]
+                s, prior = cast.value[task]
                 owner, who, x = _lists(part)
                 k = len(prior)
                 q, _ = posteriors(owner, who, x, s, prior, p)
