@@ -4,7 +4,8 @@ Every id of a target's category has the same inclusion probability: the target's
 the category, one at most. Within the sorted categories ids stand in random order (an md5 rank), probabilities are summed
 along the whole order and from one random start every crossing of an integer draws an id, so each category gets its share
 rounded down or up. Sums are kept in integers of 1/100 of a row. Then floors are repaired: a category drawn below its need
-takes the next ids in the same order, as far as it has any.
+takes the next ids in the same order, as far as it has any. Nothing is taken back from other categories, so the sample is
+larger than n by the ids that ``repaired`` counts.
 
 Scale: the order is split by the first two hex digits of the rank, so a category with a third of all rows is 256 groups;
 offsets come from a table of targets x 256 counts. Nothing is collected; targets are a small table that Spark broadcasts by
@@ -68,13 +69,14 @@ def draw(rows: DataFrame, targets: DataFrame, key: str = "hesum_id", categories:
     begins = w.withColumn("s", F.coalesce(F.sum("w").over(W.orderBy("target_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per target
     on = ranked.join(F.broadcast(begins), "target_id")  # a row per target
     d = "CAST({} AS DECIMAL(38,0))"
-    upto = lambda place: f"(({d.format('s')} + {100 - start}) * size + {d.format('w')} * {place}) div (100 * {d.format('size')})"
+    upto = lambda place: f"((({d.format('s')} + {100 - start}) * size + {d.format('w')} * {place}) div (100 * {d.format('size')}))"
     drawn = on.withColumn("hit", F.expr(f"{upto('place')} > {upto('(place - 1)')}"))
     got = drawn.groupBy("target_id").agg(F.count_if("hit").alias("got"), F.count_if(~F.col("hit")).alias("spare"))
     lack = got.join(w.select("target_id", "need"), "target_id").select("target_id", F.greatest(F.least(F.col("need") - F.col("got"), "spare"), F.lit(0)).alias("lack"))
     # the spare ids needed stand among the first got + lack places
     near = drawn.join(F.broadcast(lack.join(got, "target_id")), "target_id").where(F.col("hit") | (F.col("place") <= F.col("got") + F.col("lack")))
-    extra = near.where("NOT hit AND lack > 0").withColumn("k", F.row_number().over(W.partitionBy("target_id").orderBy("place"))).where("k <= lack")
+    # how many ids up to a place are spare follows from the crossings up to it, so no target is sorted in one task
+    extra = near.where("NOT hit AND lack > 0").withColumn("k", F.expr(f"place - ({upto('place')} - {upto('0')})")).where("k <= lack")
     hits = drawn.where("hit").select("_id", "target_id", F.lit(False).alias("repaired"))
     return hits.unionByName(extra.select("_id", "target_id", F.lit(True).alias("repaired"))).withColumnRenamed("_id", key)
 
