@@ -5,7 +5,7 @@ s agree on a coordinate with probability s ** rows. Texts are posted under each
 under a pair is counted first, pre-aggregated; pairs of one text meet nobody and drop out. In the order of these counts a
 text that needs ``matches`` collisions must collide outside its ``matches`` - 1 most frequent pairs: these are skipped and
 the rest, the prefix, is joined. Candidates then count their collisions over both whole lists of shared pairs (the skipped
-ones are probed, not merged), those above the match threshold are compared exactly.
+ones are probed, not merged), and only those above the match threshold are compared exactly.
 
 Scale: copies are one class before anything is posted, however many there are. Long posting lists are skipped first, and
 both joins on pairs are plain shuffle joins, which adaptive execution splits where a key is hot. Nothing is capped. A
@@ -69,45 +69,54 @@ def _signature_keys(values: np.ndarray, off: np.ndarray, p: NearDup) -> np.ndarr
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def postings(texts: DataFrame, p: NearDup) -> DataFrame:
-    """(key, h) for each coordinate-value pair of each text."""
+def signatures(texts: DataFrame, p: NearDup) -> DataFrame:
+    """(h, keys): the coordinate-value pairs of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = _signature_keys(*flat(batch.column(1)), p)
-                h = np.repeat(batch.column(0).to_numpy(), p.coordinates)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(h)], names=["key", "h"])
+                off = np.arange(0, keys.size + 1, p.coordinates, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(keys.reshape(-1)))], names=["h", "keys"])
 
-    return texts.select("h", "tri").mapInArrow(run, "key int, h bigint")
+    return texts.select("h", "tri").mapInArrow(run, "h bigint, keys array<int>")
 
 
-def similar_texts(texts: DataFrame, p: NearDup) -> DataFrame:
-    """(ha, hb, similarity), ha < hb: different texts (h, n, tri) whose similarity reaches the threshold."""
-    posted = postings(texts, p)
+def _lists(texts: DataFrame, p: NearDup) -> DataFrame:
+    """(h, keys): each text's pairs that others share, from rare to frequent."""
+    posted = keep(signatures(texts, p), "neardup-signatures").select("h", F.explode("keys").alias("key"))
     frequent = posted.groupBy("key").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     shared = posted.join(frequent, "key")
     lists = shared.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("l")).where(F.size("l") >= p.matches)
-    sized = keep(lists.select("h", F.transform("l", lambda x: x.key).alias("keys")), "neardup-lists")
+    return lists.select("h", F.transform("l", lambda x: x.key).alias("keys"))
+
+
+def _candidates(texts: DataFrame, p: NearDup) -> DataFrame:
+    """(ha, hb), ha < hb: pairs of texts that collide often enough."""
+    sized = keep(lambda: _lists(texts, p), "neardup-lists")
     prefix = sized.select("h", F.explode(F.slice("keys", 1, F.size("keys") - (p.matches - 1))).alias("key"))
-    pairs = (
+    met = (
         prefix.select("key", F.col("h").alias("ha"))
         .join(prefix.select("key", F.col("h").alias("hb")), "key")
         .where("ha < hb")
         .select("ha", "hb")
         .distinct()
     )
-    pairs = keep(pairs, "neardup-candidates")
-    met = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct()
-    of = sized.join(by_ids(texts, met, "h", "left_semi"), "h").select("h", "keys", "n", "tri")
-    left = of.select(F.col("h").alias("ha"), F.col("keys").alias("ka"), F.col("n").alias("na"), F.col("tri").alias("ta"))
-    right = of.select(F.col("h").alias("hb"), F.col("keys").alias("kb"), F.col("n").alias("nb"), F.col("tri").alias("tb"))
+    a, b = (sized.select(F.col("h").alias("h" + x), F.col("keys").alias("keys" + x)) for x in "ab")
+    return met.join(a, "ha").join(b, "hb").where(F.size(F.array_intersect("keysa", "keysb")) >= p.matches).select("ha", "hb")
+
+
+def similar_texts(texts: DataFrame, p: NearDup) -> DataFrame:
+    """(ha, hb, similarity), ha < hb: different texts (h, n, tri) whose similarity reaches the threshold."""
+    pairs = keep(lambda: _candidates(texts, p), "neardup-candidates")  # only these meet the texts' own sets
+    side = lambda df, x: df.select(*(F.col(n).alias(n + x) for n in ("h", "n", "tri")))
+    of = by_ids(texts, pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct(), "h", "left_semi")
     s = F.lit(p.similarity)
-    both = F.size(F.array_intersect("ta", "tb"))
+    both = F.size(F.array_intersect("tria", "trib"))
     return (
-        pairs.join(left, "ha")
-        .join(right, "hb")
-        .where((F.least("na", "nb") >= s * F.greatest("na", "nb")) & (F.size(F.array_intersect("ka", "kb")) >= p.matches))
+        pairs.join(side(of, "a"), "ha")
+        .join(side(of, "b"), "hb")
+        .where(F.least("na", "nb") >= s * F.greatest("na", "nb"))
         .select("ha", "hb", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
         .where(F.col("similarity") >= s)
     )
@@ -116,7 +125,7 @@ def similar_texts(texts: DataFrame, p: NearDup) -> DataFrame:
 def near_duplicate_pairs(df: DataFrame, key: str = "pos", text: str = "text", p: NearDup = NearDup()) -> DataFrame:
     """(``key``_a, ``key``_b, similarity) for all pairs of rows, copies included."""
     rows = shingle_table(df, text, [key], p.width, p.min_words, "neardup")
-    linked = keep(similar_texts(one_per_text(rows, key), p), "neardup-links")
+    linked = keep(lambda: similar_texts(one_per_text(rows, key), p), "neardup-links")
     member = rows.select("h", F.col(key).alias("_k"))
     a, b = f"{key}_a", f"{key}_b"
     many = member.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
@@ -133,8 +142,8 @@ def near_duplicate_groups(df: DataFrame, key: str = "pos", text: str = "text", p
     """
     rows = shingle_table(df, text, [key], p.width, p.min_words, "neardup")
     texts = rows.groupBy("h").agg(F.min(key).alias("least"), F.count("*").alias("copies"))
-    links = keep(similar_texts(one_per_text(rows, key), p).select("ha", "hb"), "neardup-links")
-    label = components(texts.select("h", "least"), links)
+    links = keep(lambda: similar_texts(one_per_text(rows, key), p).select("ha", "hb"), "neardup-links")
+    label = keep(lambda: components(texts.select("h", "least"), links), "neardup-labels")
     both = links.union(links.select("hb", "ha")).toDF("h", "other")
     degree = both.join(texts.select(F.col("h").alias("other"), "copies"), "other").groupBy("h").agg(F.sum("copies").alias("linked"))
     per_text = texts.join(label, "h").join(degree, "h", "left").select("h", "group", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
@@ -142,16 +151,16 @@ def near_duplicate_groups(df: DataFrame, key: str = "pos", text: str = "text", p
     return df.select(key).join(found, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("group", key).alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(h, group): the least ``least`` of each connected component, by label passing with pointer jumping.
 
-    Each round is written to the shared folder; rounds end when no label changes. Degrees are bounded by the links, which
-    are joined, never collected.
+    Each round is written to the shared folder; rounds end when no label changes, which must come, as labels only fall.
+    Degrees are bounded by the links, which are joined, never collected.
     """
     both = links.union(links.select("hb", "ha")).toDF("h", "other")
     touched = both.select("h").distinct()
     now = keep(nodes.join(touched, "h", "left_semi").withColumn("group", F.col("least")), "components")
-    for _ in range(rounds):
+    while True:
         offered = both.join(now.select(F.col("h").alias("other"), F.col("group").alias("g")), "other").groupBy("h").agg(F.min("g").alias("g"))
         step = now.join(offered, "h").select("h", "least", "group", F.least("group", "g").alias("g"))
         top = step.select(F.col("least").alias("g"), F.col("g").alias("gg"))
@@ -160,6 +169,4 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
         now = after.drop("moved")
         if not moved:
             break
-    else:
-        raise RuntimeError("labels still change after the last round")
     return nodes.join(now.select("h", "group"), "h", "left").select("h", F.coalesce("group", "least").alias("group"))

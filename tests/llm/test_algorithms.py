@@ -41,6 +41,20 @@ def corpus(seed=1, families=40, length=80):
     return texts + texts[:7]
 
 
+def test_joins_beyond_the_broadcast_bound(spark):
+    """The way of larger id tables, a shuffle join, has the same results."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(3, 12))], "pos bigint, text string")
+    found = lambda: {tuple(r) for r in ND.near_duplicate_pairs(df, p=ND.ARTICLES).collect()}
+    sides = [df.selectExpr("IF(pos % 3 = 0, 'test', 'train') AS split", "CAST(pos AS string) AS key", "text")]
+    overlapping = lambda: {tuple(r) for r in CS.overlaps(*CS.cross_split(sides, CS.ARTICLES)).collect()}
+    want = found(), overlapping()
+    spark.conf.set("tallyloom.broadcastIds", "0")
+    try:
+        assert (found(), overlapping()) == want and all(want)
+    finally:
+        spark.conf.unset("tallyloom.broadcastIds")
+
+
 def test_near_duplicates(spark):
     texts = corpus()
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(900, None, None, 0), (901, "", "x", 0), (902, "w1 w2", "x", 0), (903, "w1 w2", "x", 0)]
