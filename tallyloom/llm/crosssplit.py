@@ -78,11 +78,11 @@ def term_counts(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[0, part]), pa.array(n[1, part])], names=["b", "t", "e"])
 
     partial = texts.select("tri", "train").mapInArrow(run, "b bigint, t bigint, e bigint")
-    total = partial.groupBy("b").agg(F.sum("t").alias("t"), F.sum("e").alias("e")).toArrow()  # `buckets` rows at most
+    count = lambda c: F.least(F.sum(c), F.lit(2**31 - 1)).cast("int").alias(c)
+    total = partial.groupBy(F.col("b").cast("int").alias("b")).agg(count("t"), count("e")).toArrow()  # `buckets` rows of 12 bytes at most
     out = np.zeros((2, buckets), dtype=np.int32)
     at = total.column("b").to_numpy()
-    out[0, at] = np.minimum(total.column("t").to_numpy(), 2**31 - 1)
-    out[1, at] = np.minimum(total.column("e").to_numpy(), 2**31 - 1)
+    out[0, at], out[1, at] = total.column("t").to_numpy(), total.column("e").to_numpy()
     return out[0], out[1]
 
 
@@ -171,11 +171,10 @@ def cross_split(sides: list[DataFrame], p: CosineJoin = CosineJoin(), train: str
     rows = rows.withColumn("train", F.col("split") == train).withColumn("uid", F.monotonically_increasing_id())
     table = shingle_table(rows, "text", ["split", "key", "train", "uid"], p.width, 1, "crosssplit", first="train")
     members = table.select("split", "key", "h").distinct()
-    texts = one_per_text(table, "uid", "train")
-    near = cosine_pairs(texts, p).select("he", "ht", "similarity")
     sides_held = table.where("tri IS NOT NULL").groupBy("h").agg(F.max("train").alias("a"), F.min("train").alias("b")).where("a AND NOT b")
     same = sides_held.select(F.col("h").alias("he"), F.col("h").alias("ht"), F.lit(1.0).alias("similarity"))
-    return members, keep(near.unionByName(same), "crosssplit-pairs")
+    near = lambda: cosine_pairs(one_per_text(table, "uid", "train"), p).select("he", "ht", "similarity")
+    return members, keep(lambda: near().unionByName(same), "crosssplit-pairs")
 
 
 def overlaps(members: DataFrame, pairs: DataFrame, train: str = "train") -> DataFrame:
