@@ -101,7 +101,8 @@ def pool(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, ranked).groupBy("hesum_id").agg(F.max_by("scores", "_k").alias("scores"))
 
 
-def decision(pairwise: DataFrame, faithfulness_low: float, faithfulness_high: float) -> DataFrame:
-    """The rule: the decided win rate excludes 50 %, or the faithfulness interval excludes 0."""
-    ci = not (faithfulness_low <= 0 <= faithfulness_high)
-    return pairwise.withColumn("faithfulness_excludes_0", F.lit(ci)).withColumn("adopt", F.col("excludes_50") | F.lit(ci))
+def decision(pairwise: DataFrame, interval: DataFrame) -> DataFrame:
+    """The rule: the decided win rate excludes 50 %, or the faithfulness interval (low, high; one row or none) excludes 0."""
+    one = interval.agg(F.coalesce(F.first((F.col("low") > 0) | (F.col("high") < 0)), F.lit(False)).alias("faithfulness_excludes_0"))
+    both = pairwise.crossJoin(F.broadcast(one))  # one row each
+    return both.withColumn("adopt", F.coalesce("excludes_50", F.lit(False)) | F.col("faithfulness_excludes_0"))

@@ -63,6 +63,17 @@ def tail_candidates(records: DataFrame, size: int = TAIL_SIZE, support: int = SU
     return found.orderBy(F.desc("n_records"), F.desc("length"), "tail")
 
 
+def tail_ids(records: DataFrame, size: int = TAIL_SIZE, support: int = SUPPORT) -> DataFrame:
+    """(tail, length, id): the records of each candidate, a row each, as a tail may be that of any number of records."""
+    return tail_members(records, size, support).select("tail", "length", "id")
+
+
+def unmatched(records: DataFrame, trimmed: DataFrame, size: int = TAIL_SIZE, support: int = SUPPORT) -> DataFrame:
+    """(id): records with a candidate tail that trimming didn't match."""
+    left = trimmed.where("NOT tail_boilerplate_removed").select(F.col("id").alias("_i"))
+    return tail_members(records, size, support).join(left, F.col("id") == F.col("_i"), "left_semi").select("id")
+
+
 def trim_text(text: str, tail: list[str]) -> tuple[str, bool]:
     """The text before its tail, and whether the tail matched. A tail's first words that are followed by a gap with
     metadata stay with the text."""

@@ -36,7 +36,13 @@ def model_input(records: DataFrame) -> DataFrame:
     return records.where(ok).select("id", "text", "headline")
 
 
-def usable_ids(labels: DataFrame) -> DataFrame:
+def usable_ids(labels: DataFrame, strict: bool = False) -> DataFrame:
+    """Ids of usable sources. ``strict`` refuses repeated ids and a table without any usable one."""
+    if strict:
+        per = labels.groupBy("id").agg(F.count("*").alias("c"), F.max(F.col("filter_label") == "usable").alias("u"))
+        found = per.agg(F.count_if(F.col("c") > 1).alias("twice"), F.count_if("u").alias("usable")).first()
+        if found.twice or not found.usable:
+            raise ValueError(f"{found.twice} repeated ids, {found.usable} usable")
     return labels.where(F.col("filter_label") == "usable").select("id").distinct()
 
 

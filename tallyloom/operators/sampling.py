@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,11 +31,25 @@ def hash_rank(df: DataFrame, key: str, seed: int | str = SEED, by: list[str] | N
     return inside.join(before, [*by, "_s"]).withColumn(name, F.col("_r") + F.col("_b")).drop("_h", "_s", "_r", "_b")
 
 
-def sample(df: DataFrame, key: str, n: int, seed: int | str = SEED, by: list[str] | None = None) -> DataFrame:
-    """``n`` rows (per group) without replacement."""
+def sample(df: DataFrame, key: str, n: int, seed: int | str = SEED, by: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """``n`` rows (per group) without replacement. ``strict`` counts first and refuses a pool of fewer rows."""
+    if strict:
+        sizes = df.groupBy(*(by or [])).agg(F.count("*").alias("c")).agg(F.min("c")).first()[0] or 0
+        if sizes < n:
+            raise ValueError(f"{n} of {sizes} records")
     return hash_rank(df, key, seed, by, "_rank").where(F.col("_rank") <= n).drop("_rank")
 
 
+def limited(df: DataFrame, key: str, n: int = 120, seed: int | str = SEED) -> DataFrame:
+    """All rows of a table of ``n``, a sample of exactly ``n`` of a larger one; fewer are an error."""
+    return sample(df, key, n, seed, strict=True)
+
+
+def first_rows(df: DataFrame, order: str, n: int = 100) -> DataFrame:
+    """The first ``n`` rows in order; the limit is the feature."""
+    return df.orderBy(order).limit(n)
+
+
 def parity_positions(total: int, n: int, seed: int = SEED) -> list[int]:
     """The positions that Python's generator draws from a list of ``total`` in lexical id order."""
     if n > total:
@@ -88,6 +103,13 @@ def first_of_text(df: DataFrame, text: str = "text", order: str = "pos") -> Data
     return one.select(*(F.col(text) if c == text else F.col(f"_r.{c}").alias(c) for c in df.columns))
 
 
+def pool_steps(records: DataFrame, held_out: DataFrame, n: int, key: str = "hesum_id", order: str = "pos", seed: int = SEED) -> DataFrame:
+    """(step, n_rows) of training_pool: loaded, not held out, distinct texts, sampled."""
+    free = without(records, held_out, key)
+    steps = {"loaded": records, "not held out": free, "distinct texts": first_of_text(free, order=order), "sampled": training_pool(records, held_out, n, key, order, seed)}
+    return reduce(DataFrame.unionByName, (df.agg(F.lit(k).alias("step"), F.count("*").alias("n_rows")) for k, df in steps.items()))
+
+
 def training_pool(records: DataFrame, held_out: DataFrame, n: int, key: str = "hesum_id", order: str = "pos", seed: int = SEED) -> DataFrame:
     """The leakage-safe pool: held-out ids out, exact texts once, ``n`` sampled."""
     return sample(first_of_text(without(records, held_out, key), order=order), key, n, seed)

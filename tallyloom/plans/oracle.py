@@ -121,7 +121,71 @@ def _mark(x: str, seed: object) -> str:
     return f"md5('{seed}:' || {x})"
 
 
+def _part(source: str, section: str, who: str = "NULL", dimension: str = "NULL", **measures: str) -> str:
+    names, values = ", ".join(f"'{m}'" for m in measures), ", ".join(f"CAST({v} AS DOUBLE)" for v in measures.values())
+    return f"SELECT '{section}' AS section, CAST({who} AS VARCHAR) AS who, CAST({dimension} AS VARCHAR) AS dimension, unnest([{names}]) AS measure, unnest([{values}]) AS value FROM ({source})"
+
+
+def _reports(sql: dict[str, str]) -> dict[str, str]:
+    """The whole programs' reports, from the SQL of their parts."""
+    win = sql["pairwise_rate"]
+    together = f"WITH {_LONG}, {_POOLED}, one AS (SELECT hesum_id, dimension, max_by(score, annotator_id) AS score FROM long GROUP BY ALL), x AS (SELECT o.dimension, p.score AS a, o.score AS b FROM one o JOIN pooled p USING (hesum_id, dimension))"
+    judged = f"""WITH {_OUT}, last AS (SELECT annotator_id, hesum_id, max_by(outcome, pos) AS o FROM outcomes GROUP BY ALL), judge AS (SELECT hesum_id, min_by(outcome, pos) AS j FROM outcomes GROUP BY 1),
+x AS (SELECT annotator_id, CASE o WHEN 'original' THEN 0 WHEN 'tie' THEN 1 ELSE 2 END AS a, CASE j WHEN 'original' THEN 0 WHEN 'tie' THEN 1 ELSE 2 END AS b FROM last JOIN judge USING (hesum_id))"""
+    human = [
+        _part(sql["completion_check"], "completion", "annotator_id", expected="expected_tasks", submitted="submitted_tasks", missing="missing_tasks"),
+        _part(sql["judge_kappa"], "judge and rater", "annotator_id", "dimension", n="n", kappa="kappa"),
+        _part(f"{together}, {_kappa('SELECT dimension, a, b FROM x', 'dimension')} SELECT * FROM kappas", "judge and raters", "NULL", "dimension", n="n", kappa="kappa"),
+        _part(
+            together + " SELECT dimension, round(avg(a), 3) AS ma, round(avg(b), 3) AS mb, round(100 * count(*) FILTER (a = b) / count(*), 1) AS e, round(100 * count(*) FILTER (abs(a - b) <= 1) / count(*), 1) AS w FROM x GROUP BY 1",
+            "closeness", "NULL", "dimension", mean_judge="ma", mean_raters="mb", exact_pct="e", within_one_pct="w",
+        ),
+        _part(judged + " SELECT annotator_id, round(100 * count(*) FILTER (a = b) / count(*), 2) AS pct FROM x GROUP BY 1", "pairs agreed with judge", "annotator_id", percent_agreement="pct"),
+        _part(f"{judged}, {_kappa('SELECT annotator_id, a, b FROM x', 'annotator_id')} SELECT * FROM kappas", "pairs with judge", "annotator_id", n="n", kappa="kappa"),
+        _part(win, "win rate", n="n", curated="curated", tie="tie", non_tie_curated_pct="non_tie_curated_pct", wilson_low="wilson_low", wilson_high="wilson_high"),
+    ]
+    chosen = f"""{_LONG}, {_POOLED}, {_MEMBERS}, k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_mark("hesum_id", 42)}, hesum_id) AS r FROM members),
+chosen AS (SELECT DISTINCT hesum_id FROM k WHERE r <= 75), again AS (SELECT hesum_id FROM chosen ORDER BY {_mark("hesum_id", 43)}, hesum_id LIMIT 60),
+first_pass AS (SELECT * FROM pooled WHERE hesum_id IN (SELECT hesum_id FROM chosen)),
+second_pass AS (SELECT hesum_id, dimension, min(score) AS score FROM long WHERE hesum_id IN (SELECT hesum_id FROM again) GROUP BY ALL)"""
+    pilot = [
+        _part(_distribution("first_pass", "dimension", chosen), "distribution", "'level ' || level", "dimension", n="n"),
+        _part(f"WITH {chosen}, c AS (SELECT dimension, score, count(*) AS n FROM first_pass GROUP BY ALL) SELECT dimension, sum(n) AS n, round(max(n) / sum(n), 6) AS m, (max(n) / sum(n) >= 0.85)::INT AS d FROM c GROUP BY 1", "degenerate", "NULL", "dimension", n="n", max_share="m", is_degenerate="d"),
+        _part(f"WITH {chosen}, {_kappa('SELECT dimension, f.score AS a, g.score AS b FROM first_pass f JOIN second_pass g USING (hesum_id, dimension)', 'dimension')} SELECT * FROM kappas", "test-retest", "NULL", "dimension", n="n", kappa="kappa"),
+    ]
+    experiment = [
+        _part(_distribution("arm", "arm, dimension", _ARM), "level", "arm || ' ' || level", "dimension", n="n"),
+        _part(sql["arm_means"], "mean", "arm", "dimension", mean_score="mean_score"),
+        _part(win, "win rate", n="n", non_tie_curated_pct="non_tie_curated_pct", wilson_low="wilson_low", wilson_high="wilson_high"),
+    ]
+    union = " UNION ALL ".join
+    held = "(SELECT hesum_id FROM curated_records WHERE split IN ('val', 'test') AND hesum_id IS NOT NULL)"
+    text, summary = _strip("text"), _strip("summary")
+    return {
+        "human_validation": union(human),
+        "pilot_report": union(pilot),
+        "experiment_report": union(experiment),
+        "training_pool_steps": f"""WITH {_RECS}, l AS (SELECT * FROM recs WHERE text IS NOT NULL), f AS (SELECT * FROM l WHERE id NOT IN {held})
+SELECT 'loaded' AS step, count(*) AS n_rows FROM l UNION ALL SELECT 'not held out', count(*) FROM f UNION ALL SELECT 'distinct texts', count(DISTINCT text) FROM f UNION ALL SELECT 'sampled', least(500, count(DISTINCT text)) FROM f""",
+        "limit_sample": f"SELECT hesum_id FROM (SELECT DISTINCT hesum_id FROM curated_records WHERE split = 'train' AND hesum_id IS NOT NULL) ORDER BY {_mark('hesum_id', 42)}, hesum_id LIMIT 60",
+        "first_validation_rows": "SELECT DISTINCT hesum_id FROM curated_records WHERE split = 'val' AND hesum_id IS NOT NULL ORDER BY hesum_id LIMIT 100",
+        "training_check": f"""WITH r AS (SELECT split, {text} AS text, {summary} AS summary FROM curated_records WHERE {text} <> '' AND {summary} <> ''),
+s AS (SELECT DISTINCT split, text FROM r), m AS (SELECT text FROM s GROUP BY text HAVING count(*) > 1), c AS (SELECT split, count(*) AS c FROM s JOIN m USING (text) GROUP BY 1)
+SELECT r.split, count(*) AS n, 0 AS n_blank_text, 0 AS n_blank_summary, coalesce(any_value(c), 0) AS n_shared, 0 AS n_prompt_lacks_text, 0 AS n_other_completion FROM r LEFT JOIN c ON c.split = r.split GROUP BY r.split""",
+        "incremental_ingest": f"SELECT coalesce(error, 'done') AS state, count(*) AS n FROM ({sql['batch_parse']}) GROUP BY 1",
+        "judged_records": f"""WITH {_RECS} SELECT id, 4 AS n_scores, (length('Article:') + 1 + least(length(text), 6000) + 1 + length('Headline: ') + length(headline)) % 5 + 1 AS faithfulness
+FROM recs WHERE text IS NOT NULL AND headline IS NOT NULL""",
+        "generation_resume": f"WITH {_RECS} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids FROM recs WHERE headline IS NOT NULL",
+        "tail_ids": _TAILS + " SELECT tail, l AS length, id FROM deep JOIN ok USING (tail, l)",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
+    sql = _queries()
+    return sql | _reports(sql)
+
+
+def _queries() -> dict[str, str]:
     return {
         "word_extract": f"SELECT pos, len(w) AS n_words, len(list_distinct(w)) AS n_distinct, array_to_string(w[1:3], ' ') AS lead FROM (SELECT pos, {_hw('text')} AS w FROM records)",
         "lead_overlap": f"SELECT pos, {_overlap('text', 'headline')} AS overlap FROM records",

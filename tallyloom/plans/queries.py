@@ -16,6 +16,7 @@ from tallyloom.operators import ledger as L
 from tallyloom.operators import quality as Q
 from tallyloom.operators import sampling as P
 from tallyloom.operators import statistics as S
+from tallyloom.plans import pipelines as R
 from tallyloom.schemas import DIMENSIONS, EDIT_TYPES, SOURCE_LABELS
 from tallyloom.session import table as t
 from tallyloom.sources import files as I
@@ -82,7 +83,9 @@ def word_extract(s: SparkSession, d: str) -> DataFrame:
 
 
 def word_spans(s: SparkSession, d: str) -> DataFrame:
-    return X.word_spans(records(s, d), "id", "headline")
+    """The spans of all words of all texts, summed up per record."""
+    spans = X.word_spans(records(s, d), "id", "text")
+    return spans.groupBy("id").agg(F.count("*").alias("n_words"), F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
 
 
 def tail_trim_summary(s: SparkSession, d: str) -> DataFrame:
@@ -169,8 +172,7 @@ def outcome_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def decision_rule(s: SparkSession, d: str) -> DataFrame:
     counts = S.level_counts(arm_scores(s, d), ["arm", "dimension"]).where("dimension = 'faithfulness'")
-    ci = S.delta_intervals(counts, "arm", "raw", ["dimension"]).first()
-    return A.decision(A.pairwise_rate(A.outcomes(log(s, d))), ci.low, ci.high) if ci else A.decision(A.pairwise_rate(A.outcomes(log(s, d))), 0.0, 0.0)
+    return A.decision(A.pairwise_rate(A.outcomes(log(s, d))), S.delta_intervals(counts, "arm", "raw", ["dimension"]))
 
 
 def completion_check(s: SparkSession, d: str) -> DataFrame:
@@ -256,6 +258,40 @@ def pair_arms(s: SparkSession, d: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("n_texts"), *(F.count_if(F.expr(e)).alias(n) for n, e in (("n_paired", "n_a > 0 AND n_b > 0"), ("only_b", "n_a = 0"), ("only_a", "n_b = 0"), ("n_repeated", "n_a > 1 OR n_b > 1"))))
 
 
+def rebuild_counts(s: SparkSession, d: str) -> DataFrame:
+    lab, rep = labels(s, d), replacements(s, d)
+    return R.rebuild(records(s, d).select("id", "text", "headline"), lab, rep).counts(lab, rep)
+
+
+def pilot_report(s: SparkSession, d: str) -> DataFrame:
+    """The pooled scores of a stratified sample as the first pass, the least of the raters' scores of 60 as the second."""
+    member = L.in_strata(rows(s, d)).select("hesum_id", "stratum").distinct()
+    chosen = P.sample(member, "hesum_id", 75, by=["stratum"]).select("hesum_id").distinct()
+    least = A.long_scores(log(s, d)).groupBy("hesum_id", "dimension").agg(F.min("score").alias("score"))
+    return R.pilot_report(pooled(s, d).join(chosen, "hesum_id", "left_semi"), least.join(R.retest(chosen, "hesum_id"), "hesum_id", "left_semi"))
+
+
+def human_validation(s: SparkSession, d: str) -> DataFrame:
+    entries = log(s, d)
+    names = entries.where("annotator_id IS NOT NULL AND hesum_id IS NOT NULL")
+    tasks = names.select("annotator_id", "hesum_id").distinct().select(F.col("annotator_id").alias("assigned_annotator"), "hesum_id", F.explode(F.array(F.lit("rubric"), F.lit("pairwise"))).alias("task"))
+    return R.human_validation(entries, tasks, pooled(s, d), outcome_tables(s, d)[1])
+
+
+def generation_resume(s: SparkSession, d: str) -> DataFrame:
+    """Two runs over the records, the first stopped early: every record has one reply in the end."""
+    import uuid
+
+    from tallyloom.session import shared_dir
+
+    path = f"{shared_dir(s).rstrip('/')}/tallyloom-generated-{uuid.uuid4().hex}"
+    asked = records(s, d).where("headline IS NOT NULL").select("id", X.fill("Headline: {headline}", headline="headline").alias("prompt"))
+    make = lambda df: J.ask(df, "prompt", J.fake_scorer).select("id", F.md5("raw_reply").alias("reply_md5"))
+    M.resume(asked.where("id < '5'"), "id", path, make)
+    done = M.resume(asked, "id", path, make)
+    return done.agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"))
+
+
 def id_sets(s: SparkSession, d: str) -> DataFrame:
     """Set operations on the ids of records, labels and results."""
     r, c = records(s, d).select("id").distinct(), replacements(s, d).select("id")
@@ -343,6 +379,17 @@ def queries() -> dict[str, Query]:
         "training_pool": training_pool,
         "dedupe_text": lambda s, d: P.first_of_text(t(s, d, "records").select("pos", "text")).select("pos"),
         "pair_by_text": pair_arms,
+        "training_pool_steps": lambda s, d: P.pool_steps(records(s, d).where("text IS NOT NULL").withColumnRenamed("id", "hesum_id"), t(s, d, "curated_records").where("split IN ('val', 'test')").select("hesum_id"), 500),
+        "limit_sample": lambda s, d: P.limited(t(s, d, "curated_records").where("split = 'train' AND hesum_id IS NOT NULL").select("hesum_id").distinct(), "hesum_id", 60),
+        "first_validation_rows": lambda s, d: P.first_rows(t(s, d, "curated_records").where("split = 'val' AND hesum_id IS NOT NULL").select("hesum_id").distinct(), "hesum_id"),
+        # whole programs
+        "rebuild_counts": rebuild_counts,
+        "training_check": lambda s, d: R.training_check(R.training_rows(t(s, d, "curated_records"))),
+        "pilot_report": pilot_report,
+        "human_validation": human_validation,
+        "experiment_report": lambda s, d: R.experiment_report(arms(s, d), A.outcomes(log(s, d))),
+        "generation_resume": generation_resume,
+        "tail_ids": lambda s, d: B.tail_ids(records(s, d).select("id", "text")),
         # replies, validation, ingest
         "judge_reply_parse": judge_reply_parse,
         "winner_reply_parse": winner_reply_parse,
