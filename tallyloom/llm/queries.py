@@ -197,6 +197,17 @@ k AS (SELECT DISTINCT split, key, source FROM own UNION ALL
   SELECT 'predictions', CAST(pos AS VARCHAR), min(o.source) FROM predictions_curated p LEFT JOIN own o ON o.split = 'test' AND o.text = p.text WHERE pos IS NOT NULL GROUP BY pos)
 SELECT k.split, source, count(DISTINCT k.key) AS n_keys, count(DISTINCT hit.key) AS n_overlapping, round(count(DISTINCT hit.key) / count(DISTINCT k.key), 4) AS rate
 FROM k LEFT JOIN hit ON hit.split = k.split AND hit.key = k.key GROUP BY k.split, source""",
+        "p8_items": f"""
+WITH d AS (SELECT doc_id, source, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(range(1, len(ws) - 10)) AS k, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM d WHERE len(ws) >= 12),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM i WHERE len(ws) >= 12),
+hit AS (SELECT DISTINCT doc_id, item_id, k FROM dg JOIN ig USING (g)),
+new AS (SELECT *, coalesce(k - lag(k) OVER (PARTITION BY doc_id, item_id ORDER BY k) > 12, false)::INT AS new FROM hit),
+part AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS part FROM new),
+passage AS (SELECT doc_id, item_id, max(k) - min(k) + 12 AS n_words FROM part GROUP BY doc_id, item_id, part)
+SELECT p.item_id, e.split, count(DISTINCT p.doc_id) AS n_docs, count(DISTINCT d.source) AS n_sources, max(n_words) AS longest
+FROM passage p JOIN d USING (doc_id) JOIN (SELECT DISTINCT item_id, split FROM eval_items) e USING (item_id) GROUP BY p.item_id, e.split""",
         "p8_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items WHERE text IS NOT NULL),
