@@ -9,7 +9,7 @@ larger than n by the ids that ``repaired`` counts.
 
 Scale: the order is split by the first two hex digits of the rank, so a category with a third of all rows is 256 groups;
 offsets come from a table of targets x 256 counts. Nothing is collected; targets are a small table that Spark broadcasts by
-its measured size.
+its measured size. The places are written once, to the shared folder, and read by the later steps.
 
 Defined results: null categories are categories of their own; null ids are left out; repeated rows count once; an id with
 several categories counts as available in each and is drawn for the first of its targets; a negative or null share or
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.session import keep
+
 CATEGORIES = ("source_label", "headline_action", "multi_pipe")
 FRACTION, SEED, START = 10, "4", 37
 
@@ -62,8 +64,11 @@ def _ranked(rows: DataFrame, quota: DataFrame, key: str, categories: tuple[str,
 
 def draw(rows: DataFrame, targets: DataFrame, key: str = "hesum_id", categories: tuple[str, ...] = CATEGORIES, fraction: int = FRACTION, seed: str = SEED, start: int = START) -> DataFrame:
     """(``key``, target_id, repaired): the sample; ``start`` is the random start in 1/100 of a row (0 to 99)."""
-    quota = quotas(rows, targets, key, categories, fraction)
-    ranked = _ranked(rows, quota, key, categories, seed)
+    return _draw(rows, keep(quotas(rows, targets, key, categories, fraction), "quotas"), key, categories, seed, start)
+
+
+def _draw(rows: DataFrame, quota: DataFrame, key: str, categories: tuple[str, ...], seed: str, start: int) -> DataFrame:
+    ranked = keep(_ranked(rows, quota, key, categories, seed), "quota-places")
     assigned = ranked.groupBy("target_id").agg(F.count("*").alias("size"))
     w = quota.join(assigned, "target_id").select("target_id", "need", "size", F.least(F.col("pct") * F.col("n"), 100 * F.col("size")).alias("w"))
     begins = w.withColumn("s", F.coalesce(F.sum("w").over(W.orderBy("target_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per target
@@ -81,10 +86,10 @@ def draw(rows: DataFrame, targets: DataFrame, key: str = "hesum_id", categories:
     return hits.unionByName(extra.select("_id", "target_id", F.lit(True).alias("repaired"))).withColumnRenamed("_id", key)
 
 
-def report(rows: DataFrame, targets: DataFrame, **options) -> DataFrame:
+def report(rows: DataFrame, targets: DataFrame, key: str = "hesum_id", categories: tuple[str, ...] = CATEGORIES, fraction: int = FRACTION, seed: str = SEED, start: int = START) -> DataFrame:
     """Per target: need, ids available, ids drawn, ids added for the floor, and whether the target is met."""
-    quota = quotas(rows, targets, **{k: v for k, v in options.items() if k in ("key", "categories", "fraction")})
-    drawn = draw(rows, targets, **options).groupBy("target_id").agg(F.count("*").alias("drawn"), F.count_if("repaired").alias("repaired"))
+    quota = keep(quotas(rows, targets, key, categories, fraction), "quotas")
+    drawn = _draw(rows, quota, key, categories, seed, start).groupBy("target_id").agg(F.count("*").alias("drawn"), F.count_if("repaired").alias("repaired"))
     return quota.join(drawn, "target_id", "left").select(
         "target_id",
         "pct",
