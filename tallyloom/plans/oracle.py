@@ -298,7 +298,7 @@ FROM curated_records r LEFT JOIN c ON c.split = r.split GROUP BY r.split""",
         "training_pool": f"""WITH {_RECS}, p AS (SELECT id AS hesum_id, pos, text FROM recs WHERE text IS NOT NULL AND id NOT IN (SELECT hesum_id FROM curated_records WHERE split IN ('val', 'test') AND hesum_id IS NOT NULL)),
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY pos) AS k FROM p) WHERE k = 1) SELECT hesum_id, pos FROM u ORDER BY {_mark('hesum_id', 42)}, hesum_id LIMIT 500""",
         "dedupe_text": "SELECT min(pos) AS pos FROM records GROUP BY text",
-        "pair_by_text": """WITH a AS (SELECT text, count(*) AS n FROM predictions_curated WHERE variant = 'greedy' AND model = 'student-3b' GROUP BY 1), b AS (SELECT text, count(*) AS n FROM predictions_curated WHERE variant = 'greedy' AND model = 'student-7b' GROUP BY 1),
+        "pair_by_text": """WITH a AS (SELECT text, count(*) AS n FROM predictions_curated WHERE model = 'student-3b' GROUP BY 1), b AS (SELECT text, count(*) AS n FROM predictions_curated WHERE model IS DISTINCT FROM 'student-3b' GROUP BY 1),
 j AS (SELECT coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM a FULL JOIN b ON a.text IS NOT DISTINCT FROM b.text)
 SELECT count(*) AS n_texts, count(*) FILTER (na > 0 AND nb > 0) AS n_paired, count(*) FILTER (na = 0) AS only_b, count(*) FILTER (nb = 0) AS only_a, count(*) FILTER (na > 1 OR nb > 1) AS n_repeated FROM j""",
         "judge_reply_parse": "SELECT pos, " + " + ".join(f"coalesce(CAST(scores.{c} BETWEEN 1 AND 5 AS INTEGER), 0)" for c in _DIMS) + " AS n_scores, " + ", ".join(f"CASE WHEN scores.{c} BETWEEN 1 AND 5 THEN scores.{c} END AS {c}" for c in _DIMS) + " FROM annotations WHERE task = 'rubric'",

@@ -253,8 +253,9 @@ def split_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def pair_arms(s: SparkSession, d: str) -> DataFrame:
-    p = t(s, d, "predictions_curated").where("variant = 'greedy'")
-    pairs = P.pair_by_text(p.where("model = 'student-3b'"), p.where("model = 'student-7b'"), ["prediction"])
+    """One model's predictions as an arm against all others'."""
+    p = t(s, d, "predictions_curated")
+    pairs = P.pair_by_text(p.where("model = 'student-3b'"), p.where("NOT model <=> 'student-3b'"), ["prediction"])
     return pairs.agg(F.count("*").alias("n_texts"), *(F.count_if(F.expr(e)).alias(n) for n, e in (("n_paired", "n_a > 0 AND n_b > 0"), ("only_b", "n_a = 0"), ("only_a", "n_b = 0"), ("n_repeated", "n_a > 1 OR n_b > 1"))))
 
 

@@ -141,3 +141,29 @@ def test_resume(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     M.resume(df.where("id = 'a'"), "id", str(tmp_path / "out"), make)
     assert sorted(tuple(r) for r in M.resume(df, "id", str(tmp_path / "out"), make).collect()) == [("a", "A"), ("b", "B"), ("c", "C")] and calls == [1, 2]
+
+
+def test_kept_tables(spark):
+    from tallyloom import session
+    from tallyloom.sources.files import exists
+
+    inner = []
+    outer = session.keep(lambda: (inner.append(session.keep(spark.range(3), "inner")), inner[0].selectExpr("id + 1 AS id"))[1], "outer")
+    paths = [df.inputFiles()[0].rsplit("/", 1)[0] for df in (*inner, outer)]
+    assert [exists(spark, p) for p in paths] == [False, True] and sorted(r.id for r in outer.collect()) == [1, 2, 3]
+
+
+def test_no_shared_folder_on_a_cluster():
+    from unittest.mock import MagicMock
+
+    from tallyloom import session
+
+    spark = MagicMock()
+    spark.conf.get.return_value = spark.sparkContext.getConf().get.return_value = None
+    spark.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        spark.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            session.shared_dir(spark)
+    spark.sparkContext.master = "local[4]"
+    assert session.shared_dir(spark).startswith("file://")
